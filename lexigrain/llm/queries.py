@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexigrain.llm.exact_dedup import exact_duplicates
+from lexigrain.llm.packing import pack_documents
+from lexigrain.llm.quality import score_quality
 from lexigrain.llm.substring_dedup import repeated_passages
 from lexigrain.llm.suffix_dedup import suffix_repeats
 
@@ -14,14 +17,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(_table(spark, sf_dir, "documents"))
 
 
+_COPIES = """
+SELECT doc_id, keep_doc_id, copies FROM (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_doc_id, count(*) OVER (PARTITION BY text) AS copies
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+WHERE doc_id <> keep_doc_id
+"""
+
 _PASSAGES = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS s FROM w WHERE len(ws) >= 50),
@@ -34,8 +56,8 @@ SELECT doc_id, min(s) AS start_word, max(s) + 50 AS end_word, removed FROM j GRO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op8_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op8_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _PASSAGES, "op8_suffix_array_dedup": _PASSAGES}
+    return {"op2_exact_dedup": _COPIES, "op3_substring_dedup": _PASSAGES, "op8_suffix_array_dedup": _PASSAGES}
