@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexigrain.llm.bpe import encode_documents
 from lexigrain.llm.exact_dedup import exact_duplicates
 from lexigrain.llm.ngram_join import near_pairs
 from lexigrain.llm.packing import pack_documents
@@ -42,6 +43,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
 _COPIES = """
 SELECT doc_id, keep_doc_id, copies FROM (
   SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_doc_id, count(*) OVER (PARTITION BY text) AS copies
@@ -79,7 +84,7 @@ SELECT ids, ids, n, 1.0 FROM l JOIN (SELECT a, any_value(overlap) AS n FROM j WH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op8_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op8_suffix_array_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
