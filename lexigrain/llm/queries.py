@@ -13,6 +13,7 @@ from lexigrain.llm.packing import pack_documents
 from lexigrain.llm.quality import score_quality
 from lexigrain.llm.substring_dedup import repeated_passages
 from lexigrain.llm.suffix_dedup import suffix_repeats
+from lexigrain.llm.toxicity import toxic_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -84,7 +89,7 @@ SELECT ids, ids, n, 1.0 FROM l JOIN (SELECT a, any_value(overlap) AS n FROM j WH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op8_suffix_array_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op8_suffix_array_dedup, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
