@@ -10,6 +10,7 @@ from lexigrain.llm.bpe import encode_documents
 from lexigrain.llm.exact_dedup import exact_duplicates
 from lexigrain.llm.ngram_join import near_pairs
 from lexigrain.llm.packing import pack_documents
+from lexigrain.llm.page_diff import extract_text
 from lexigrain.llm.quality import score_quality
 from lexigrain.llm.substring_dedup import repeated_passages
 from lexigrain.llm.suffix_dedup import suffix_repeats
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -89,7 +94,7 @@ SELECT ids, ids, n, 1.0 FROM l JOIN (SELECT a, any_value(overlap) AS n FROM j WH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op8_suffix_array_dedup, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op8_suffix_array_dedup, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
