@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -29,12 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint.
 
     The folder is the cluster's ``spark.checkpoint.dir``; only a session
-    without one (a local test) gets a folder of its own.
+    without one (a local test) gets a folder of its own. Shuffle files of the
+    lineage that nothing refers to any more are given up right away.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrain-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def input_bytes(df: DataFrame) -> int:

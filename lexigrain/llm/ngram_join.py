@@ -3,12 +3,16 @@
 The global order of n-grams is cut into fragments, ranges of the gram hash. A
 first pass sends each document's grams to their fragments and counts there how
 many documents hold each gram. Grams of one document alone can't be shared, so
-only the rest goes back to the documents; most documents end here, since a pair
-needs ``t`` of either's grams in common. Candidates are pairs that share a gram
-among the rarest of both (prefix filter), so a passage in thousands of documents
-makes no pairs by itself. Partial overlaps of candidates are then counted
-fragment by fragment and summed per pair. Documents with equal gram sets are
-joined as one and listed together.
+only the rest goes back to the documents, numbered by rarity within its
+fragment; most documents end here, since a pair needs ``t`` of either's grams
+in common. Candidates are pairs that share a gram among the rarest of both
+(prefix filter), so a passage in thousands of documents makes no pairs by
+itself. Partial overlaps of candidates are then counted cut by cut of the order
+and summed per pair. Documents with equal gram sets are joined as one and listed
+together.
+
+Grams travel packed, some megabytes to a blob: one shuffle record for each gram
+would take several times the input.
 """
 
 from __future__ import annotations
@@ -21,12 +25,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import WordHash, buckets_for, checkpointed, fresh, rows_of, window_hashes, mixed, word_hashes
+from lexigrain.llm.common import WordHash, buckets_for, checkpointed, fresh, mixed, rows_of, window_hashes, word_hashes
 
 N, THRESHOLD = 3, 0.4
-#: Input bytes a fragment of the first pass should hold; grams a task gathers before it sends them; fragments in which overlaps are counted.
-FRAGMENT_BYTES, FLUSH_GRAMS, CUTS = 8 << 20, 3_000_000, 8
-_INT = "long"
+#: Input bytes a fragment of the first pass should hold; grams a task gathers before it sends them; cuts of the order in which overlaps are counted.
+FRAGMENT_BYTES, FLUSH_GRAMS, CUTS = 8 << 20, 3_000_000, 4
 
 
 def gram_set(text: str, n: int, memo: WordHash) -> np.ndarray:
@@ -38,14 +41,46 @@ def gram_set(text: str, n: int, memo: WordHash) -> np.ndarray:
     return np.unique(mixed(window_hashes(word_hashes(words, memo), k) + np.uint64(k)))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Little-endian bytes, all lowest ones first: small numbers press well so."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+def needed(size: int, t: float) -> int:
+    """The least overlap with any partner: the smallest whole number not under ``t * size``."""
+    k = int(t * size)
+    return k if k >= t * size - 1e-9 else k + 1
+
+
+class _Writer:
+    """Numbers as bytes, all lowest bytes first, the next ones after them: small numbers press well so."""
+
+    def __init__(self) -> None:
+        self.parts: list[bytes] = []
+
+    def add(self, values: np.ndarray, dtype: str) -> _Writer:
+        v = np.ascontiguousarray(values.astype(dtype))
+        self.parts.append(np.array([len(v)], np.int64).tobytes())
+        self.parts.append(np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T).tobytes())
+        return self
+
+    def done(self, press: zstandard.ZstdCompressor) -> bytes:
+        return press.compress(b"".join(self.parts))
+
+
+class _Reader:
+    def __init__(self, blob: bytes, press: zstandard.ZstdDecompressor) -> None:
+        self.raw, self.at = press.decompress(blob), 0
+
+    def next(self, dtype: str) -> np.ndarray:
+        size = np.dtype(dtype).itemsize
+        n = int(np.frombuffer(self.raw, np.int64, 1, self.at)[0])
+        planes = np.frombuffer(self.raw, np.uint8, n * size, self.at + 8).reshape(size, n)
+        self.at += 8 + n * size
+        return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
 
+def _pressed(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    return _Writer().add(np.diff(ids, prepend=0), "<i8").done(press)
 
-def _unplaned(raw: bytes, dtype: type, n: int, at: int) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(dtype)
+
+def _unpressed(blob: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
+    return np.cumsum(_Reader(blob, press).next("<i8"))
 
 
 def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -54,24 +89,29 @@ def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         docs: list[int] = []
         sets: list[np.ndarray] = []
         held = 0
+        width = (1 << 64) // fragments + 1
+        edges = np.array([f * width for f in range(fragments)], np.uint64)
 
         def flush() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+            grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            low = np.array([s[0] for s in sets], np.uint64)
+            sign_a = np.array([np.bitwise_xor.reduce(mixed(s)) for s in sets], np.uint64)
+            sign_b = np.array([mixed(s + np.uint64(7)).sum() for s in sets], np.uint64)
             order = np.argsort(grams)
             grams, owner = grams[order], owner[order]
             ids = np.array(docs, np.int64)
-            width = (1 << 64) // fragments + 1
-            cuts = np.searchsorted(grams, np.array([f * width for f in range(fragments)], np.uint64)).tolist() + [len(grams)]
+            cuts = [*np.searchsorted(grams, edges).tolist(), len(grams)]
             number, blobs = [], []
             for f in range(fragments):
                 a, b = cuts[f], cuts[f + 1]
                 if a < b:
                     who, own = np.unique(owner[a:b], return_inverse=True)
-                    step = np.diff(grams[a:b], prepend=np.uint64(0))
-                    head = np.array([len(who), b - a], np.int64).tobytes()
+                    lowest = who[own[grams[a:b] == low[owner[a:b]]]]  # a set's signature goes with its lowest gram
+                    w = _Writer().add(np.diff(ids[who], prepend=0), "<i8").add(sizes[who], "<i4").add(np.diff(grams[a:b], prepend=np.uint64(0)), "<u8").add(own, "<u4")
+                    w.add(ids[lowest], "<i8").add(sign_a[lowest], "<u8").add(sign_b[lowest], "<u8")
                     number.append(f)
-                    blobs.append(press.compress(b"".join((head, _planes(np.diff(ids[who], prepend=0)), _planes(sizes[who].astype(np.int32)), _planes(step), _planes(own.astype(np.uint32))))))
+                    blobs.append(w.done(press))
             docs.clear()
             sets.clear()
             return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(blobs, pa.binary())], ["fragment", "data"])
@@ -93,100 +133,171 @@ def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return send
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one fragment: each document's grams that other documents have too, with the counts of documents."""
-    press = zstandard.ZstdDecompressor()
-    grams, docs, sizes = [], [], []
-    for blob in table.column("data").to_pylist():
-        raw = press.decompress(blob)
-        d, g = np.frombuffer(raw, np.int64, 2).tolist()
-        ids, size = np.cumsum(_unplaned(raw, np.int64, d, 16)), _unplaned(raw, np.int32, d, 16 + 8 * d)
-        own = _unplaned(raw, np.uint32, g, 16 + 12 * d + 8 * g)
-        grams.append(np.cumsum(_unplaned(raw, np.uint64, g, 16 + 12 * d), dtype=np.uint64))
-        docs.append(ids[own])
-        sizes.append(size[own])
-    gram, doc, size = map(np.concatenate, (grams, docs, sizes))
-    del grams, docs, sizes
-    order = np.argsort(gram, kind="stable")
-    at = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1]))
-    df = np.diff(np.append(at, len(gram)))
-    take = order[np.repeat(df > 1, df)]
-    df = np.repeat(df, df)[np.repeat(df > 1, df)]
-    gram, doc, size = gram[take].view(np.int64), doc[take], size[take]
-    order = np.argsort(doc, kind="stable")
-    gram, doc, size, df = gram[order], doc[order], size[order], df[order]
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
-    offsets = pa.array(np.append(at, len(doc)), pa.int32())
-    return pa.table({"doc_id": pa.array(doc[at]), "size": pa.array(size[at], pa.int32()), "grams": pa.ListArray.from_arrays(offsets, pa.array(gram)), "dfs": pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32)))})
-
-
-def _assembler(t: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From a document's shared grams, in the global order (rarest first, then by hash): what the join needs."""
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, size, gram_lists, df_lists, sign, prefix = batch.column(0), batch.column(1).to_numpy(), [], [], [], []
-            for i in range(batch.num_rows):
-                grams = batch.column(2)[i].values.flatten().to_numpy()
-                dfs = batch.column(3)[i].values.flatten().to_numpy()
-                gram_lists.append(np.sort(grams))
-                # the grams that nobody shares are the rarest and come first in the prefix
-                first = int(size[i]) - needed(int(size[i]), t) + 1 - (int(size[i]) - len(grams))
-                order = np.lexsort((grams, dfs))[: max(0, first)]
-                prefix.append(grams[order])
-                whole = len(grams) == size[i]
-                u = gram_lists[-1].view(np.uint64)
-                sign.append(b"%d,%d,%d" % (size[i], int(np.bitwise_xor.reduce(mixed(u))), int(mixed(u + np.uint64(7)).sum())) if whole else b"d%d" % doc[i].as_py())
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([doc, batch.column(1), pa.array(sign, pa.binary()), lists(gram_lists), lists(prefix)], ["doc_id", "size", "sign", "grams", "prefix"])
+def _sharer(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    def share(table: pa.Table) -> pa.Table:
+        """Of one fragment: each document's grams that other documents have too, by number in order of rarity, and the counts of documents."""
+        press, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        fragment = table.column("fragment")[0].as_py()
+        grams, docs, sizes, signed, sign_a, sign_b = [], [], [], [], [], []
+        for blob in table.column("data").to_pylist():
+            r = _Reader(blob, press)
+            ids, size = np.cumsum(r.next("<i8")), r.next("<i4")
+            grams.append(np.cumsum(r.next("<u8"), dtype=np.uint64))
+            own = r.next("<u4")
+            docs.append(ids[own])
+            sizes.append(size[own])
+            signed.append(r.next("<i8"))
+            sign_a.append(r.next("<u8"))
+            sign_b.append(r.next("<u8"))
+        gram, doc, size, signed, sign_a, sign_b = map(np.concatenate, (grams, docs, sizes, signed, sign_a, sign_b))
+        del grams, docs, sizes
+        order = np.lexsort((doc, gram))
+        gram, doc, size = gram[order], doc[order], size[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))  # a repeated row counts once
+        gram, doc, size = gram[new], doc[new], size[new]
+        at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        df = np.diff(np.append(at, len(gram)))
+        rank = np.empty(len(at), np.int64)
+        rank[np.argsort(df, kind="stable")] = np.arange(len(at))
+        take = np.repeat(df > 1, df)
+        number, df = np.repeat(rank, df)[take], np.repeat(df, df)[take]
+        doc, size = doc[take], size[take]
+        bucket = (mixed(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((number, doc, bucket))
+        number, df, doc, size, bucket = number[order], df[order], doc[order], size[order], bucket[order]
+        signed_bucket = (mixed(signed.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        out_bucket, blobs = [], []
+        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)]):
+            first = a + np.flatnonzero(np.append(True, doc[a + 1 : b] != doc[a : b - 1]))
+            mine = np.flatnonzero((signed_bucket == bucket[a]) & np.isin(signed, doc[first]))
+            w = _Writer().add(np.array([fragment]), "<i4").add(np.diff(doc[first], prepend=0), "<i8").add(size[first], "<i4").add(np.diff(np.append(first, b)), "<i4").add(number[a:b], "<u4").add(df[a:b], "<u4")
+            w.add(signed[mine], "<i8").add(sign_a[mine], "<u8").add(sign_b[mine], "<u8")
+            out_bucket.append(int(bucket[a]))
+            blobs.append(w.done(squeeze))
+        return pa.table({"bucket": pa.array(out_bucket, pa.int32()), "data": pa.array(blobs, pa.binary())})
+
+    return share
+
+
+def _assembler(t: float, fragments: int, homes: int) -> Callable[[pa.Table], pa.Table]:
+    def assemble(table: pa.Table) -> pa.Table:
+        """Of the documents of one bucket: those that share enough, with their shared grams in cuts, and their rarest ones."""
+        press, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        gids, docs, sizes, dfs, signs = [], [], [], [], {}
+        for blob in table.column("data").to_pylist():
+            r = _Reader(blob, press)
+            fragment = int(r.next("<i4")[0])
+            ids, size, count = np.cumsum(r.next("<i8")), r.next("<i4"), r.next("<i4")
+            gids.append(r.next("<u4").astype(np.int64) | fragment << 32)
+            dfs.append(r.next("<u4"))
+            docs.append(np.repeat(ids, count))
+            sizes.append(np.repeat(size, count))
+            for d, x, y in zip(r.next("<i8").tolist(), r.next("<u8").tolist(), r.next("<u8").tolist()):
+                signs[d] = (x, y)
+        gid, doc, size, df = map(np.concatenate, (gids, docs, sizes, dfs))
+        order = np.lexsort((gid, df, doc))
+        gid, doc, size = gid[order], doc[order], size[order]
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        out: dict[str, list] = {k: [] for k in ("doc_id", "size", "sign", "home", "parts", "prefix")}
+        edges = [(c * fragments // CUTS) << 32 for c in range(1, CUTS)]
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(doc)]):
+            n, least = int(size[a]), needed(int(size[a]), t)
+            if b - a < least:
+                continue
+            d, ids = int(doc[a]), np.sort(gid[a:b])
+            out["doc_id"].append(d)
+            out["size"].append(n)
+            out["sign"].append(b"%d,%d,%d" % (n, *signs[d]) if b - a == n else b"d%d" % d)
+            out["home"].append(int(mixed(ids[:1].astype(np.uint64))[0] % np.uint64(homes)))
+            out["parts"].append([_pressed(x, squeeze) for x in np.split(ids, np.searchsorted(ids, edges))])
+            # grams that nobody shares are the rarest: they fill the first n - (b - a) places of the prefix
+            out["prefix"].append(_pressed(gid[a : a + (b - a) - least + 1], squeeze))
+        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("sign", pa.binary()), ("home", pa.int32()), ("parts", pa.list_(pa.binary())), ("prefix", pa.binary())]))
 
     return assemble
 
 
-def needed(size: int, t: float) -> int:
-    """The least overlap with any partner: the smallest whole number not under ``t * size``."""
-    k = int(t * size)
-    return k if k >= t * size - 1e-9 else k + 1
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each rare gram of a set, with the two before it in the global order."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            piece = batch.slice(at, 500)
+            lists = [_unpressed(x, press) for x in piece.column(2).to_pylist()]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            gram = np.concatenate(lists)
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            before = [pa.array(np.roll(gram, k), mask=place < k) for k in (1, 2)]
+            owner = pa.array(np.repeat(np.arange(len(lists)), sizes))
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(owner), piece.column(1).take(owner), pa.array(gram), *before], ["set_id", "size", "gram", "p1", "p2"])
+
+
+def _partial(pairs: pa.Table, parts: pa.Table) -> pa.Table:
+    """Overlaps of pairs in one cut of the order."""
+    press = zstandard.ZstdDecompressor()
+    a, b = pairs.column("set_a").to_numpy(), pairs.column("set_b").to_numpy()
+    ids = parts.column("set_id").to_numpy()
+    lists = [_unpressed(x, press) for x in parts.column("part").to_pylist()]
+    overlap = np.zeros(len(a), np.int64)
+    if len(a) and len(ids):
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        kinds, local = np.unique(np.concatenate(lists), return_inverse=True)
+        begin = np.cumsum(sizes) - sizes
+        sort = np.argsort(ids)
+        row_a, row_b = (sort[np.searchsorted(ids[sort], x)] for x in (a, b))
+        order = np.argsort(row_a, kind="stable")
+        edge = np.flatnonzero(np.append(True, row_a[order][1:] != row_a[order][:-1]))
+        mark = np.zeros(len(kinds) + 1, bool)
+        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
+            own = int(row_a[order[i]])
+            mine = local[begin[own] : begin[own] + sizes[own]]
+            mark[mine] = True
+            for k in range(i, j, 2000):
+                some = row_b[order[k : min(j, k + 2000)]]
+                n = sizes[some]
+                where = np.repeat(begin[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                total = np.append(0, np.cumsum(mark[local[where]]))
+                overlap[order[k : min(j, k + 2000)]] = total[np.cumsum(n)] - total[np.cumsum(n) - n]
+            mark[mine] = False
+    return pa.table({"set_a": pairs.column("set_a"), "set_b": pairs.column("set_b"), "size_a": pairs.column("size_a"), "size_b": pairs.column("size_b"), "overlap": pa.array(overlap)})
+
+
+def shared_sets(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """Gram sets that share enough to be in a pair: ``set_id, size, home, doc_ids, parts, prefix``, cut from the lineage."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    buckets = buckets_for(docs, FRAGMENT_BYTES)
+    sent = slim.mapInArrow(_sender(n, buckets), "fragment int, data binary")
+    back = sent.groupBy("fragment").applyInArrow(_sharer(buckets), "bucket int, data binary")
+    rows = back.groupBy("bucket").applyInArrow(_assembler(t, buckets, buckets), "doc_id long, size int, sign binary, home int, parts array<binary>, prefix binary")
+    first = lambda c: F.min_by(c, "doc_id").alias(c)
+    return checkpointed(rows.groupBy("sign").agg(F.min("doc_id").alias("set_id"), first("size"), first("home"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"), first("parts"), first("prefix")).drop("sign"))
 
 
 def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal gram sets that share enough to be in a pair (``set_id, size, doc_ids``), and their pairs (``set_a, set_b, overlap, jaccard``).
+    """Groups of equal gram sets (``set_id, size, doc_ids``), and their pairs (``set_a, set_b, overlap, jaccard``).
 
     A set goes by its smallest doc_id.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    sent = slim.mapInArrow(_sender(n, buckets_for(docs, FRAGMENT_BYTES)), "fragment int, data binary")
-    shared = sent.groupBy("fragment").applyInArrow(_shared, "doc_id long, size int, grams array<long>, dfs array<int>")
-    whole = shared.groupBy("doc_id").agg(F.max("size").alias("size"), F.collect_list("grams").alias("grams"), F.collect_list("dfs").alias("dfs"))
-    enough = F.aggregate("grams", F.lit(0), lambda acc, x: acc + F.size(x)) >= F.col("size") * F.lit(t) - 1e-9
-    rows = whole.filter(enough).mapInArrow(_assembler(t), "doc_id long, size int, sign binary, grams array<long>, prefix array<long>")
-    sets = rows.groupBy("sign").agg(F.min("doc_id").alias("set_id"), F.first("size").alias("size"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"), F.first("grams").alias("grams"), F.min_by("prefix", "doc_id").alias("prefix"))
-    sets = checkpointed(sets.drop("sign"))
-
-    marked = sets.select("set_id", "size", F.explode("prefix").alias("gram"))
-    left = marked.select(F.col("set_id").alias("set_a"), F.col("size").alias("size_a"), "gram")
-    right = marked.select(F.col("set_id").alias("set_b"), F.col("size").alias("size_b"), "gram")
-    likely = (F.col("set_a") < F.col("set_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(t) - 1e-9)
-    candidates = left.join(right, "gram").filter(likely).select("set_a", "set_b", "size_a", "size_b").distinct()
-
-    cut = fragments_of(sets)
-    a = cut.select(F.col("set_id").alias("set_a"), "fragment", F.col("part").alias("part_a"))
-    b = cut.select(F.col("set_id").alias("set_b"), "fragment", F.col("part").alias("part_b"))
-    partial = candidates.join(a, "set_a").join(b, ["set_b", "fragment"]).withColumn("overlap", F.size(F.array_intersect("part_a", "part_b")))
+    sets = shared_sets(docs, n, t)
+    rare = sets.select("set_id", "size", "prefix").mapInArrow(_prefix_rows, "set_id long, size int, gram long, p1 long, p2 long")
+    left, right = (rare.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "p1", "p2")]) for x in "ab")
+    # a pair shows at its first common gram; where a gram just before is common as well, it has shown there
+    shown: Column = F.coalesce((F.col("p1_a") == F.col("p1_b")) | (F.col("p1_a") == F.col("p2_b")) | (F.col("p2_a") == F.col("p1_b")) | (F.col("p2_a") == F.col("p2_b")), F.lit(False))
+    likely = (F.col("set_id_a") < F.col("set_id_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(t) - 1e-9)
+    candidates = left.join(right, "gram").filter(likely & ~shown).select(F.col("set_id_a").alias("set_a"), F.col("set_id_b").alias("set_b"), "size_a", "size_b").distinct()
+    candidates = checkpointed(candidates.join(sets.select(F.col("set_id").alias("set_a"), "home"), "set_a"))
+
+    wanted = candidates.select(F.col("home").alias("place"), F.explode(F.array("set_a", "set_b")).alias("set_id")).distinct()
+    parts = wanted.join(sets.select("set_id", F.posexplode("parts").alias("slice", "part")), "set_id")
+    asked = candidates.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in range(CUTS)])))
+    partial = asked.groupBy("home", "cut").cogroup(parts.groupBy("place", "slice")).applyInArrow(_partial, "set_a long, set_b long, size_a int, size_b int, overlap long")
     total = partial.groupBy("set_a", "set_b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
     jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
     pairs = total.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= F.lit(t) - 1e-12).select("set_a", "set_b", "overlap", "jaccard")
     return sets.select("set_id", "size", "doc_ids"), pairs
 
 
-def fragments_of(sets: DataFrame) -> DataFrame:
-    """Each set cut into ``CUTS`` ranges of the gram order; ranges without a gram are left out."""
-    number = lambda g: F.pmod(F.shiftright(g, 61), F.lit(CUTS))
-    cut = sets.select("set_id", "grams", F.explode(F.array(*[F.lit(i) for i in range(CUTS)])).alias("fragment"))
-    part: Column = F.filter("grams", lambda g: number(g) == F.col("fragment"))
-    return cut.select("set_id", "fragment", part.alias("part")).filter(F.size("part") > 0)
-
-
 def near_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """``doc_ids_a, doc_ids_b, overlap, jaccard``: all pairs of documents whose gram sets have a Jaccard similarity of ``t`` or more.
 
