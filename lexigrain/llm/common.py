@@ -26,16 +26,22 @@ def fresh(taken: Iterable[str], base: str) -> str:
     return name
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``; only a session without one (a local test) gets a folder of its own."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrain-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint.
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session
-    without one (a local test) gets a folder of its own. Shuffle files of the
-    lineage that nothing refers to any more are given up right away.
+    Shuffle files of the lineage that nothing refers to any more are given up right away.
     """
+    shared_folder(df.sparkSession)
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrain-checkpoint-"))
     out = df.checkpoint(eager=True)
     del df
     gc.collect()

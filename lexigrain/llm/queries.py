@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigrain.llm.bpe import encode_documents
 from lexigrain.llm.exact_dedup import exact_duplicates
 from lexigrain.llm.ngram_join import near_pairs
+from lexigrain.llm.nn_descent import near_embeddings
 from lexigrain.llm.packing import pack_documents
 from lexigrain.llm.page_diff import extract_text
 from lexigrain.llm.quality import score_quality
@@ -45,6 +46,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats(_table(spark, sf_dir, "documents"))
 
@@ -94,7 +99,7 @@ SELECT ids, ids, n, 1.0 FROM l JOIN (SELECT a, any_value(overlap) AS n FROM j WH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op8_suffix_array_dedup, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_substring_dedup, op4_best_fit_packing, op5_quality_classifier, op6_ngram_jaccard_join, op7_embedding_near_dedup, op8_suffix_array_dedup, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
