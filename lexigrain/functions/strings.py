@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes are numbered by their place in this text; two places may hold parts of one accented letter.
 ALPHABET = "".join(c + c.upper() for c in "abcčćdđefghijklmnopqrsštvuwxyzž") + "1234567890'+ /"
@@ -48,12 +49,12 @@ def jaro_winkler(a: str, b: str, threshold: float = 0.7) -> float:
     return j + min(0.1, 1 / max(len(x), len(y), 1)) * same * (1 - j)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else float(jaro(x, y)) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else float(jaro_winkler(x, y)) for x, y in zip(a, b)], dtype="float64")
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits, connectors, dashes and @ make up words.
 WORD_BREAK = r"[^\p{L}\p{N}\p{Pc}\p{Pd}@]+"
@@ -106,7 +107,7 @@ def tokenizer(which: str | Tokenizer) -> Tokenizer:
     return TOKENIZERS[which]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """Text with HTML entities replaced by their characters."""
     return text.map(lambda t: None if t is None else html.unescape(t))
