@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,9 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that ``df`` reads, by Catalyst's estimate (file bytes for a scan)."""
+    """Bytes of the tables that ``df`` reads, by Catalyst's estimate (file bytes for a scan); counted, where a source has none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if known < 1 << 60:
+        return known
+    long = [F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    return sum(df.agg(F.count("*") * 8 * len(df.columns), *long).first())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -61,8 +66,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def buckets_for(df: DataFrame, bytes_each: int) -> int:
     """A bucket count that grows with the input, never under the shuffle partitions."""
-    estimate = min(input_bytes(df), 1 << 60)
-    return max(shuffle_partitions(df.sparkSession), math.ceil(estimate / bytes_each))
+    return max(shuffle_partitions(df.sparkSession), math.ceil(input_bytes(df) / bytes_each))
 
 
 def rows_of(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

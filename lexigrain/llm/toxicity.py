@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-A window of text that the toxic dictionary compresses better by some bytes is
-evidence, and a document with a certain share of such windows is toxic; both
-cut-offs are calibrated on labelled documents that training didn't see.
+A window of text that the toxic dictionary compresses better by some bytes, to
+hardly more than a frame without text takes, is evidence, and a document with a
+certain share of such windows is toxic; the three cut-offs are calibrated on
+labelled documents that training didn't see.
 
 A window is one word with its bounds: an insult is one word, and in a longer
 window the ordinary words beside it outweigh it. Frames of one word differ by a
@@ -64,20 +65,24 @@ def windows(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Contents of the dictionaries; the bytes that make a window evidence, the share of such windows that makes a document toxic."""
+    """Contents of the dictionaries; the bytes saved and the most bytes left that make a window evidence, the share of such windows that makes a document toxic."""
 
     ordinary: bytes
     toxic: bytes
     gain: int = 0
+    left: int = 1 << 20
     share: float = 0.0
 
 
 class Gains(dict):
-    """Window -> bytes that the toxic dictionary saves against the ordinary one."""
+    """Window -> bytes that the toxic dictionary saves against the ordinary one; ``NONE`` where too many bytes are left."""
+
+    NONE = -99
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.plain, self.toxic = (self._compressor(d) for d in (model.ordinary, model.toxic))
+        self.most, self.empty = model.left, len(self.toxic(_MARK + widened("\n")))
 
     @staticmethod
     def _compressor(content: bytes) -> Callable[[bytes], bytes]:
@@ -85,11 +90,17 @@ class Gains(dict):
         trained.precompute_compress(compression_params=_SETTINGS)
         return zstandard.ZstdCompressor(dict_data=trained, compression_params=_SETTINGS).compress
 
+    def measured(self, window: str) -> tuple[int, int]:
+        """Bytes saved, and bytes left beyond those of a frame without text."""
+        raw = _MARK + widened(f"\n{window}\n")
+        toxic = len(self.toxic(raw))
+        return len(self.plain(raw)) - toxic, toxic - self.empty
+
     def __missing__(self, window: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        raw = _MARK + widened(f"\n{window}\n")
-        gain = self[window] = len(self.plain(raw)) - len(self.toxic(raw))
+        gain, left = self.measured(window)
+        gain = self[window] = gain if left <= self.most else self.NONE
         return gain
 
 
@@ -147,22 +158,24 @@ def fit(texts: list[str], toxic: list[bool]) -> Model | None:
     gains = Gains(model)
     if not judge[True] or not judge[False]:
         judge = learn
-    seen_gains = {kind: [np.array([gains[w] for w in d] or [-99]) for d in judge[kind]] for kind in judge}
-    best = (np.inf, 0, 0.0)
-    for gain in range(2, 15):
-        shares = {kind: np.array([(g >= gain).mean() for g in seen_gains[kind]]) for kind in judge}
-        for share in (0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02):
-            cost = (shares[True] < share).mean() + CLEAN_WEIGHT * (shares[False] >= share).mean()
-            if cost < best[0] - 1e-12:
-                best = (cost, gain, share)
-    return Model(model.ordinary, model.toxic, best[1], best[2])
+    known = {w: gains.measured(w) for docs in judge.values() for d in docs for w in set(d)}
+    measures = {kind: [np.array([known[w] for w in d] or [(gains.NONE, 0)]) for d in judge[kind]] for kind in judge}
+    best = (np.inf, 0, 0, 0.0)
+    for left in (0, 1, 2, 3, 5, 1 << 20):
+        for gain in range(2, 15):
+            shares = {kind: np.array([((m[:, 0] >= gain) & (m[:, 1] <= left)).mean() for m in measures[kind]]) for kind in judge}
+            for share in (0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02):
+                cost = (shares[True] < share).mean() + CLEAN_WEIGHT * (shares[False] >= share).mean()
+                if cost < best[0] - 1e-12:
+                    best = (cost, gain, left, share)
+    return Model(model.ordinary, model.toxic, *best[1:])
 
 
 def _fit_group(table: pa.Table) -> pa.Table:
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     model = fit(table.column("text").to_pylist(), [x == 1 for x in table.column("toxic").to_pylist()])
     rows = [model] if model else []
-    return pa.table({"ordinary": pa.array([m.ordinary for m in rows], pa.binary()), "dirty": pa.array([m.toxic for m in rows], pa.binary()), "gain": pa.array([m.gain for m in rows], pa.int32()), "share": pa.array([m.share for m in rows], pa.float64())})
+    return pa.table({"ordinary": pa.array([m.ordinary for m in rows], pa.binary()), "dirty": pa.array([m.toxic for m in rows], pa.binary()), "gain": pa.array([m.gain for m in rows], pa.int32()), "most": pa.array([m.left for m in rows], pa.int32()), "share": pa.array([m.share for m in rows], pa.float64())})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model | None:
@@ -175,8 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
     pick = lambda kind, n: known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, max_toxic).union(pick(0, max_ordinary))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = slim.join(F.broadcast(sample), "doc_id").groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _fit_group(t.select(["doc_id", "text", "toxic"])), "ordinary binary, dirty binary, gain int, share double").collect()
-    return Model(bytes(rows[0].ordinary), bytes(rows[0].dirty), rows[0].gain, rows[0].share) if rows else None
+    rows = slim.join(F.broadcast(sample), "doc_id").groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _fit_group(t.select(["doc_id", "text", "toxic"])), "ordinary binary, dirty binary, gain int, most int, share double").collect()
+    return Model(bytes(rows[0].ordinary), bytes(rows[0].dirty), rows[0].gain, rows[0].most, rows[0].share) if rows else None
 
 
 _gains: dict[int, Gains] = {}
@@ -184,7 +197,7 @@ _gains: dict[int, Gains] = {}
 
 def gains_of(model: Model) -> Gains:
     """The worker's gains for a model; those of an earlier model go."""
-    key = xxh3_64_intdigest(model.ordinary + b"|" + model.toxic)
+    key = xxh3_64_intdigest(model.ordinary + b"|" + model.toxic + b"|%d" % model.left)
     if key not in _gains:
         _gains.clear()
         _gains[key] = Gains(model)
