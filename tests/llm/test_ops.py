@@ -279,8 +279,8 @@ def test_near_embeddings(spark):
 
 def test_blocks_of_a_large_component(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "BLOCK", 50)
-    x = clustered(300)
-    docs = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "vec_id long, embedding array<double>")
+    x = clustered(520)
+    docs = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(520)], "vec_id long, embedding array<double>")
     got = {(r[0], r[1]) for r in nn_descent.near_embeddings(docs, k=6, leaf=16).collect()}
     want = brute.cosines(x, 0.9)
     assert got <= want and len(got) >= 0.97 * len(want)
