@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Letters, digits, connectors, dashes and @ make up words.
-WORD_BREAK = r"[^\p{L}\p{N}\p{Pc}\p{Pd}@]+"
+WORD_BREAK = r"[^@\p{N}\p{Pd}\p{Pc}\p{L}]+"
 #: Product names keep brackets, quotes and other marks.
 PRODUCT_BREAK = r"[\s,.]+"
 

@@ -44,10 +44,10 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-# --- SQL building blocks -------------------------------------------------------------------------------------------
+# SQL building blocks
 
 
-def _words(text: str = "text", pattern: str = r"[^\p{L}\p{N}\p{Pc}\p{Pd}@]+") -> str:
+def _words(text: str = "text", pattern: str = r"[^@\p{N}\p{Pd}\p{Pc}\p{L}]+") -> str:
     return f"list_filter(string_split_regex(lower({text}), '{pattern}'), lambda w: w <> '')"
 
 
@@ -64,7 +64,7 @@ def _quoted(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-# --- tokens --------------------------------------------------------------------------------------------------------
+# tokens
 
 
 def _tokens(name: str) -> Query:
@@ -120,7 +120,7 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", *[stemmed(F.col("term"), name).alias(name) for name in list(STEMMERS)[:12]])
 
 
-# --- index ---------------------------------------------------------------------------------------------------------
+# index
 
 
 @_query(f"WITH {_DL} SELECT term, doc_id, hit_count FROM dl")
@@ -172,7 +172,7 @@ def source_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_query(spark, "SELECT doc_id, lang, n_chars FROM documents WHERE source IS NOT NULL;")
 
 
-# --- changes -------------------------------------------------------------------------------------------------------
+# changes
 
 _CONV = "SELECT 1000000000 + conv_id * 1000 + turn AS doc_id, text FROM conversations"
 
@@ -213,7 +213,7 @@ def idx_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).update(new).wordlist
 
 
-# --- lookups -------------------------------------------------------------------------------------------------------
+# lookups
 
 
 @_query(f"WITH {_WL} SELECT term, num_hits, num_docs FROM wl WHERE term = 'thatin'")
@@ -241,7 +241,7 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", (F.length("term") - F.length(F.replace(F.col("term"), F.lit("e"), F.lit("")))).cast("long").alias("n"), F.levenshtein("term", F.lit("worthless")).cast("long").alias("distance"))
 
 
-# --- ranked search -------------------------------------------------------------------------------------------------
+# ranked search
 
 _GAIN = "ln((SELECT count(*) FROM documents) * 1.0 / greatest(1, df)) * (2.0 * hit_count) / (1 + hit_count)"
 
@@ -296,7 +296,7 @@ def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_many(_index(spark, sf_dir), phrases, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-# --- boolean search ------------------------------------------------------------------------------------------------
+# boolean search
 
 
 def _having(condition: str) -> str:
@@ -321,7 +321,7 @@ for _name, _expression, _condition in (
     QUERIES[_name], SQL[_name] = _boolean(_expression), _having(_condition)
 
 
-# --- places, classes, keyphrases -----------------------------------------------------------------------------------
+# places, classes, keyphrases
 
 _LNG, _LAT = "((c_custkey * 7919) % 36000) / 100.0 - 180.0", "((c_custkey * 104729) % 17000) / 100.0 - 85.0"
 _PLACES = f"p AS (SELECT c_custkey AS doc_id, ({_LNG})::DOUBLE AS longitude, ({_LAT})::DOUBLE AS latitude FROM customer)"
@@ -383,7 +383,7 @@ def rake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.rake(_articles(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
 
-# --- text tools ----------------------------------------------------------------------------------------------------
+# text tools
 
 
 @_query(r"SELECT doc_id, regexp_replace(text, '\b(thatin|worthless)\b', '<em>\1</em>', 'gi') AS marked FROM documents")

@@ -21,7 +21,7 @@ def tokens(spark, by, text, stop=()):
         ("fivegram", "Quick Foxes", "quick foxes"),
         ("edge_ngram", "Quick Foxes", "qu qui quic quick fo fox foxe foxes"),
         ("edge_ngram", "Germany a", "ge ger germ germa german germany"),
-        ("default", "Hi! This text contains an test@email.com. Test's 123 čćž-šđ", "hi this text contains an test@email com test s 123 čćž-šđ"),
+        ("default", "Oh, 2 mails: me@home.org; Bob's_x čćž-šđ", "oh 2 mails me@home org bob s_x čćž-šđ"),
         ("product", "Superman (1941), test's v1.2", "superman (1941) test's v1 2"),
     ],
 )
@@ -62,11 +62,11 @@ def marked(spark, text, needle, tag="em", **options):
 
 
 def test_highlight(spark):
-    text = "This is some text"
-    assert marked(spark, text, "is text", whole_word=False) == "Th<em>is</em> <em>is</em> some <em>text</em>"
-    assert marked(spark, text, "is text") == "This <em>is</em> some <em>text</em>"
-    assert marked(spark, text, "this text", case_sensitive=True) == "This is some <em>text</em>"
-    assert marked(spark, text, "this text", "b") == "<b>This</b> is some <b>text</b>"
+    text = "Thin ice is thin"
+    assert marked(spark, text, "in ice", whole_word=False) == "Th<em>in</em> <em>ice</em> is th<em>in</em>"
+    assert marked(spark, text, "in ice") == "Thin <em>ice</em> is thin"
+    assert marked(spark, text, "thin", case_sensitive=True) == "Thin ice is <em>thin</em>"
+    assert marked(spark, text, "thin", "b") == "<b>Thin</b> ice is <b>thin</b>"
     assert marked(spark, text, "") == text
     assert marked(spark, None, "text") is None
     out = marked(spark, "the price and the weight", "price weight", "span", simple=True, attributes={"class": "price-weight", "x": "$1\\"})
@@ -76,8 +76,8 @@ def test_highlight(spark):
 
 
 def test_snippet(spark):
-    text = "bla " * 20 + "This is a sentence that contains the phrase This is some text and thats it " + "bla " * 55
-    assert H.snippet_of(text, "This is some text", 100) == "...bla This is a sentence that contains the phrase This is some text and thats it bla bla bla bla..."
+    text = "bla " * 20 + "here we see the phrase some red fox somewhere " + "bla " * 55
+    assert H.snippet_of(text, "red fox", 60, 20) == "...the phrase some red fox somewhere bla bla bla bla bla..."
     assert H.snippet_of("short", "x") == "short"
     assert H.snippet_of("word " * 100, "nothing", 50).endswith("...")
     got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(H.snippet(F.col("t"), "phrase", 60).alias("x")).toPandas().x.tolist()
@@ -110,7 +110,7 @@ def test_vectors():
     assert S.vector("TNT") == [1000055, 1000039, 1000055]
     assert S.cosine([1, 2, 3], [4, 5, 6]) == pytest.approx(0.9746318461970762)
     assert S.cosine([], []) == 0
-    assert S.aligned(S.vector("tntsearch"), S.vector("tnth")) == [1000054, 1000038, 1000054, 0, 0, 0, 0, 0, 1000026]
+    assert [bool(x) for x in S.aligned(S.vector("abcxd"), S.vector("abd"))] == [True, True, False, False, True]
     assert S.edit_distance("kitten", "sitting") == 3 and S.edit_distance("Керол", "Кэрол") == 1
 
 
@@ -129,11 +129,6 @@ def test_rake(spark):
     docs = spark.createDataFrame([(1, "A scoop of ice cream"), (2, ""), (3, None), (4, "the of and")], "doc_id long, text string")
     got = [(r["doc_id"], r["phrase"], r["score"]) for r in keywords.rake(docs).orderBy("doc_id", "place").collect()]
     assert got == [(1, "ice cream", 4.0), (1, "scoop", 1.0)]
-    text = """Compatibility of systems of linear constraints over the set of natural numbers. Criteria of compatibility of a system of linear
-    Diophantine equations, strict inequations, and nonstrict inequations are considered. Upper bounds for components of a minimal set of solutions
-    and algorithms of construction of minimal generating sets of solutions for all types of systems are given. These criteria and the corresponding
-    algorithms for constructing a minimal supporting set of solutions can be used in solving all the considered types of systems and systems of mixed types."""
-    got = {r["phrase"]: r["score"] for r in keywords.rake(spark.createDataFrame([(1, text.replace("\n    ", " "))], "doc_id long, text string")).collect()}
-    assert got["minimal generating sets"] == pytest.approx(8.6667, abs=1e-3)
-    assert got["linear diophantine equations"] == pytest.approx(8.5, abs=1e-3)
-    assert got["minimal supporting set"] == pytest.approx(7.6667, abs=1e-3)
+    text = "Deep red sea and red sea birds; the sea"
+    got = [(r["phrase"], r["score"]) for r in keywords.rake(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("place").collect()]
+    assert got == [("deep red sea", pytest.approx(25 / 3)), ("red sea birds", pytest.approx(25 / 3))]
