@@ -11,8 +11,11 @@ itself. Partial overlaps of candidates are then counted cut by cut of the order
 and summed per pair. Documents with equal gram sets are joined as one and listed
 together.
 
-Grams travel packed, some megabytes to a blob: one shuffle record for each gram
-would take several times the input.
+Grams and candidates travel packed, some megabytes to a blob: one shuffle record
+for each would take several times the input. A gram goes by ``BITS`` bits of its
+hash, so two grams of a pair A, B of sets are taken for one with a chance of
+``|A| * |B| / 2 ** BITS``, under one in a billion for usual documents, whatever
+the size of the corpus.
 """
 
 from __future__ import annotations
@@ -27,9 +30,12 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.common import WordHash, buckets_for, checkpointed, fresh, mixed, rows_of, window_hashes, word_hashes
 
-N, THRESHOLD = 3, 0.4
+N, THRESHOLD, BITS = 3, 0.4, 48
 #: Input bytes a fragment of the first pass should hold; grams a task gathers before it sends them; cuts of the order in which overlaps are counted.
-FRAGMENT_BYTES, FLUSH_GRAMS, CUTS = 8 << 20, 3_000_000, 4
+FRAGMENT_BYTES, FLUSH_GRAMS, CUTS = 8 << 20, 3_000_000, 2
+
+#: A set's doc_id, size and signature. The mark of grams outside a prefix.
+_SIGN, _COMMON = ("<i8", "<i4", "<u8", "<u8"), 255
 
 
 def gram_set(text: str, n: int, memo: WordHash) -> np.ndarray:
@@ -38,7 +44,7 @@ def gram_set(text: str, n: int, memo: WordHash) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     k = min(n, len(words))
-    return np.unique(mixed(window_hashes(word_hashes(words, memo), k) + np.uint64(k)))
+    return np.unique(mixed(window_hashes(word_hashes(words, memo), k) + np.uint64(k)) >> np.uint64(64 - BITS))
 
 
 def needed(size: int, t: float) -> int:
@@ -89,7 +95,7 @@ def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         docs: list[int] = []
         sets: list[np.ndarray] = []
         held = 0
-        width = (1 << 64) // fragments + 1
+        width = (1 << BITS) // fragments + 1
         edges = np.array([f * width for f in range(fragments)], np.uint64)
 
         def flush() -> pa.RecordBatch:
@@ -107,9 +113,9 @@ def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 a, b = cuts[f], cuts[f + 1]
                 if a < b:
                     who, own = np.unique(owner[a:b], return_inverse=True)
-                    lowest = who[own[grams[a:b] == low[owner[a:b]]]]  # a set's signature goes with its lowest gram
-                    w = _Writer().add(np.diff(ids[who], prepend=0), "<i8").add(sizes[who], "<i4").add(np.diff(grams[a:b], prepend=np.uint64(0)), "<u8").add(own, "<u4")
-                    w.add(ids[lowest], "<i8").add(sign_a[lowest], "<u8").add(sign_b[lowest], "<u8")
+                    lowest = who[own[grams[a:b] == low[owner[a:b]]]]  # a set's size and signature go with its lowest gram
+                    w = _Writer().add(np.diff(ids[who], prepend=0), "<i8").add(np.diff(grams[a:b], prepend=np.uint64(0)), "<u8").add(own, "<u4")
+                    w.add(ids[lowest], "<i8").add(sizes[lowest], "<i4").add(sign_a[lowest], "<u8").add(sign_b[lowest], "<u8")
                     number.append(f)
                     blobs.append(w.done(press))
             docs.clear()
@@ -138,42 +144,45 @@ def _sharer(buckets: int) -> Callable[[pa.Table], pa.Table]:
         """Of one fragment: each document's grams that other documents have too, by number in order of rarity, and the counts of documents."""
         press, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         fragment = table.column("fragment")[0].as_py()
-        grams, docs, sizes, signed, sign_a, sign_b = [], [], [], [], [], []
+        grams, docs, signs = [], [], []
         for blob in table.column("data").to_pylist():
             r = _Reader(blob, press)
-            ids, size = np.cumsum(r.next("<i8")), r.next("<i4")
+            ids = np.cumsum(r.next("<i8"))
             grams.append(np.cumsum(r.next("<u8"), dtype=np.uint64))
-            own = r.next("<u4")
-            docs.append(ids[own])
-            sizes.append(size[own])
-            signed.append(r.next("<i8"))
-            sign_a.append(r.next("<u8"))
-            sign_b.append(r.next("<u8"))
-        gram, doc, size, signed, sign_a, sign_b = map(np.concatenate, (grams, docs, sizes, signed, sign_a, sign_b))
-        del grams, docs, sizes
+            docs.append(ids[r.next("<u4")])
+            signs.append([r.next(kind) for kind in _SIGN])
+        gram, doc = np.concatenate(grams), np.concatenate(docs)
+        sign = [np.concatenate(x) for x in zip(*signs)]
+        del grams, docs, signs
         order = np.lexsort((doc, gram))
-        gram, doc, size = gram[order], doc[order], size[order]
+        gram, doc = gram[order], doc[order]
         new = np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]))  # a repeated row counts once
-        gram, doc, size = gram[new], doc[new], size[new]
+        gram, doc = gram[new], doc[new]
         at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         df = np.diff(np.append(at, len(gram)))
         rank = np.empty(len(at), np.int64)
         rank[np.argsort(df, kind="stable")] = np.arange(len(at))
+        counts, first_of = np.unique(np.sort(df), return_index=True)  # numbers go up with the count: where each count begins tells it
         take = np.repeat(df > 1, df)
-        number, df = np.repeat(rank, df)[take], np.repeat(df, df)[take]
-        doc, size = doc[take], size[take]
-        bucket = (mixed(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        number = np.repeat(rank, df)[take]
+        doc = doc[take]
+        place = lambda d: (mixed(d.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        bucket = place(doc)
         order = np.lexsort((number, doc, bucket))
-        number, df, doc, size, bucket = number[order], df[order], doc[order], size[order], bucket[order]
-        signed_bucket = (mixed(signed.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        out_bucket, blobs = [], []
-        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)]):
-            first = a + np.flatnonzero(np.append(True, doc[a + 1 : b] != doc[a : b - 1]))
-            mine = np.flatnonzero((signed_bucket == bucket[a]) & np.isin(signed, doc[first]))
-            w = _Writer().add(np.array([fragment]), "<i4").add(np.diff(doc[first], prepend=0), "<i8").add(size[first], "<i4").add(np.diff(np.append(first, b)), "<i4").add(number[a:b], "<u4").add(df[a:b], "<u4")
-            w.add(signed[mine], "<i8").add(sign_a[mine], "<u8").add(sign_b[mine], "<u8")
-            out_bucket.append(int(bucket[a]))
+        number, doc, bucket = number[order], doc[order], bucket[order]
+        home = place(sign[0])
+        order = np.argsort(home, kind="stable")
+        home, sign = home[order], [x[order] for x in sign]
+        out_bucket, blobs = np.union1d(bucket, home).tolist(), []
+        for n in out_bucket:
+            a, b = np.searchsorted(bucket, [n, n + 1]).tolist()
+            first = a + np.flatnonzero(np.append(True, doc[a + 1 : b] != doc[a : b - 1])[: b - a])
+            steps = np.diff(number[a:b], prepend=0)
+            steps[first - a] = number[first]
+            w = _Writer().add(np.array([fragment]), "<i4").add(np.diff(doc[first], prepend=0), "<i8").add(np.diff(np.append(first, b)), "<i4").add(steps, "<u4").add(counts, "<u4").add(first_of, "<u4")
+            c, d = np.searchsorted(home, [n, n + 1]).tolist()
+            for x, kind in zip(sign, _SIGN):
+                w.add(x[c:d], kind)
             blobs.append(w.done(squeeze))
         return pa.table({"bucket": pa.array(out_bucket, pa.int32()), "data": pa.array(blobs, pa.binary())})
 
@@ -182,85 +191,149 @@ def _sharer(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 def _assembler(t: float, fragments: int, homes: int) -> Callable[[pa.Table], pa.Table]:
     def assemble(table: pa.Table) -> pa.Table:
-        """Of the documents of one bucket: those that share enough, with their shared grams in cuts, and their rarest ones."""
+        """Of the documents of one bucket: those that share enough, with their shared grams in cuts, and the rarity of the rarest ones."""
         press, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        gids, docs, sizes, dfs, signs = [], [], [], [], {}
+        gids, docs, rarities, signs = [], [], [], []
         for blob in table.column("data").to_pylist():
             r = _Reader(blob, press)
             fragment = int(r.next("<i4")[0])
-            ids, size, count = np.cumsum(r.next("<i8")), r.next("<i4"), r.next("<i4")
-            gids.append(r.next("<u4").astype(np.int64) | fragment << 32)
-            dfs.append(r.next("<u4"))
+            ids, count = np.cumsum(r.next("<i8")), r.next("<i4")
+            steps = r.next("<u4").astype(np.int64)
+            total, first = np.cumsum(steps), np.cumsum(count) - count
+            number = total - np.repeat(total[first] - steps[first], count)
+            counts, first_of = r.next("<u4"), r.next("<u4")
+            gids.append(number | fragment << 32)
+            # the order of rarity: classes of an eighth of a power of two, then numbers
+            classes = np.minimum(_COMMON - 1, (8 * np.log2(np.maximum(counts, 1))).astype(np.int64))
+            rarities.append(classes[np.searchsorted(first_of, number, side="right") - 1])
             docs.append(np.repeat(ids, count))
-            sizes.append(np.repeat(size, count))
-            for d, x, y in zip(r.next("<i8").tolist(), r.next("<u8").tolist(), r.next("<u8").tolist()):
-                signs[d] = (x, y)
-        gid, doc, size, df = map(np.concatenate, (gids, docs, sizes, dfs))
-        order = np.lexsort((gid, df, doc))
-        gid, doc, size = gid[order], doc[order], size[order]
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            signs.append([r.next(kind) for kind in _SIGN])
+        gid, doc, rarity = map(np.concatenate, (gids, docs, rarities))
+        sign = {d: rest for d, *rest in zip(*(np.concatenate(x).tolist() for x in zip(*signs)))}
+        order = np.lexsort((gid, rarity, doc))
+        gid, doc, rarity = gid[order], doc[order], rarity[order]
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
         out: dict[str, list] = {k: [] for k in ("doc_id", "size", "sign", "home", "parts", "prefix")}
         edges = [(c * fragments // CUTS) << 32 for c in range(1, CUTS)]
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(doc)]):
-            n, least = int(size[a]), needed(int(size[a]), t)
+            d = int(doc[a])
+            n, *signature = sign[d]
+            least = needed(n, t)
             if b - a < least:
                 continue
-            d, ids = int(doc[a]), np.sort(gid[a:b])
+            ids = np.sort(gid[a:b])
             out["doc_id"].append(d)
             out["size"].append(n)
-            out["sign"].append(b"%d,%d,%d" % (n, *signs[d]) if b - a == n else b"d%d" % d)
+            out["sign"].append(b"%d,%d,%d" % (n, *signature) if b - a == n else b"d%d" % d)
             out["home"].append(int(mixed(ids[:1].astype(np.uint64))[0] % np.uint64(homes)))
             out["parts"].append([_pressed(x, squeeze) for x in np.split(ids, np.searchsorted(ids, edges))])
             # grams that nobody shares are the rarest: they fill the first n - (b - a) places of the prefix
-            out["prefix"].append(_pressed(gid[a : a + (b - a) - least + 1], squeeze))
+            rare, end = np.full(b - a, _COMMON, np.uint8), a + (b - a) - least + 1
+            rare[np.searchsorted(ids, gid[a:end])] = rarity[a:end]
+            out["prefix"].append(squeeze.compress(rare.tobytes()))
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("sign", pa.binary()), ("home", pa.int32()), ("parts", pa.list_(pa.binary())), ("prefix", pa.binary())]))
 
     return assemble
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each rare gram of a set, with the two before it in the global order."""
+    """A row for each rare gram of a set, with 32 bits each of the two before it in order of rarity (0: none)."""
     press = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             piece = batch.slice(at, 500)
-            lists = [_unpressed(x, press) for x in piece.column(2).to_pylist()]
+            lists = []
+            for parts, rare in zip(piece.column(3).to_pylist(), piece.column(4).to_pylist()):
+                ids, rarity = np.concatenate([_unpressed(x, press) for x in parts]), np.frombuffer(press.decompress(rare), np.uint8)
+                ids, rarity = ids[rarity < _COMMON], rarity[rarity < _COMMON]
+                lists.append(ids[np.lexsort((ids, rarity))])
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             gram = np.concatenate(lists)
             place = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            before = [pa.array(np.roll(gram, k), mask=place < k) for k in (1, 2)]
+            short = (mixed(gram.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) | 1
+            one, two = (np.where(place < k, 0, np.roll(short, k)) for k in (1, 2))
             owner = pa.array(np.repeat(np.arange(len(lists)), sizes))
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(owner), piece.column(1).take(owner), pa.array(gram), *before], ["set_id", "size", "gram", "p1", "p2"])
+            about = piece.column(1).to_numpy().astype(np.int64) << 32 | piece.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(gram), piece.column(0).take(owner), pa.array(about).take(owner), pa.array(one << 32 | two)], ["gram", "set_id", "about", "before"])
 
 
-def _partial(pairs: pa.Table, parts: pa.Table) -> pa.Table:
-    """Overlaps of pairs in one cut of the order."""
+def _gathered(table: pa.Table) -> pa.Table:
+    """The candidates of one home, each once, in order, as one blob."""
+    a, b = table.column("set_a").to_numpy(), table.column("set_b").to_numpy()
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    a, b = a[new], b[new]
+    blob = _Writer().add(np.diff(a, prepend=0), "<i8").add(b - a, "<i8").done(zstandard.ZstdCompressor(level=3))
+    return pa.table({"home": table.column("home").slice(0, 1), "pairs": pa.array([blob], pa.binary())})
+
+
+def _pairs_of(blob: bytes, press: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    r = _Reader(blob, press)
+    a = np.cumsum(r.next("<i8"))
+    return a, a + r.next("<i8")
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets that the candidates of a home name."""
     press = zstandard.ZstdDecompressor()
-    a, b = pairs.column("set_a").to_numpy(), pairs.column("set_b").to_numpy()
+    for batch in batches:
+        for home, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids = np.unique(np.concatenate(_pairs_of(blob, press)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), home), pa.int32()), pa.array(ids, pa.int64())], ["place", "set_id"])
+
+
+def _partial(pairs: pa.Table, parts: pa.Table) -> pa.Table:
+    """Overlaps of a home's pairs in one cut of the order, as one blob; with the first cut go the pairs and their sizes."""
+    press, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+    schema = pa.schema([("home", pa.int32()), ("overlaps", pa.binary()), ("pairs", pa.binary())])
+    if not pairs.num_rows:
+        return schema.empty_table()
+    a, b = _pairs_of(pairs.column("pairs")[0].as_py(), press)
     ids = parts.column("set_id").to_numpy()
     lists = [_unpressed(x, press) for x in parts.column("part").to_pylist()]
     overlap = np.zeros(len(a), np.int64)
-    if len(a) and len(ids):
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        kinds, local = np.unique(np.concatenate(lists), return_inverse=True)
-        begin = np.cumsum(sizes) - sizes
-        sort = np.argsort(ids)
-        row_a, row_b = (sort[np.searchsorted(ids[sort], x)] for x in (a, b))
-        order = np.argsort(row_a, kind="stable")
-        edge = np.flatnonzero(np.append(True, row_a[order][1:] != row_a[order][:-1]))
-        mark = np.zeros(len(kinds) + 1, bool)
-        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
-            own = int(row_a[order[i]])
-            mine = local[begin[own] : begin[own] + sizes[own]]
-            mark[mine] = True
-            for k in range(i, j, 2000):
-                some = row_b[order[k : min(j, k + 2000)]]
-                n = sizes[some]
-                where = np.repeat(begin[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                total = np.append(0, np.cumsum(mark[local[where]]))
-                overlap[order[k : min(j, k + 2000)]] = total[np.cumsum(n)] - total[np.cumsum(n) - n]
-            mark[mine] = False
-    return pa.table({"set_a": pairs.column("set_a"), "set_b": pairs.column("set_b"), "size_a": pairs.column("size_a"), "size_b": pairs.column("size_b"), "overlap": pa.array(overlap)})
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    kinds, local = np.unique(np.concatenate(lists), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    sort = np.argsort(ids)
+    row_a, row_b = (sort[np.searchsorted(ids[sort], x)] for x in (a, b))
+    edge = np.flatnonzero(np.append(True, row_a[1:] != row_a[:-1]))
+    mark = np.zeros(len(kinds) + 1, bool)
+    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(a)]):
+        own = int(row_a[i])
+        mine = local[begin[own] : begin[own] + sizes[own]]
+        mark[mine] = True
+        for k in range(i, j, 2000):
+            some = row_b[k : min(j, k + 2000)]
+            n = sizes[some]
+            where = np.repeat(begin[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            total = np.append(0, np.cumsum(mark[local[where]]))
+            overlap[k : min(j, k + 2000)] = total[np.cumsum(n)] - total[np.cumsum(n) - n]
+        mark[mine] = False
+    w = _Writer().add(overlap, "<u4")
+    first = pairs.column("cut")[0].as_py() == 0
+    if first:
+        size = parts.column("size").to_numpy()
+        w.add(size[row_a], "<u4").add(size[row_b], "<u4")
+    return pa.table({"home": pairs.column("home"), "overlaps": pa.array([w.done(squeeze)], pa.binary()), "pairs": pairs.column("pairs") if first else pa.array([None], pa.binary())}, schema=schema)
+
+
+def _summed(t: float) -> Callable[[pa.Table], pa.Table]:
+    def total(table: pa.Table) -> pa.Table:
+        """The pairs of a home that are similar enough, by the sums of their partial overlaps."""
+        press, overlap = zstandard.ZstdDecompressor(), 0
+        for blob, pairs in zip(table.column("overlaps").to_pylist(), table.column("pairs").to_pylist()):
+            r = _Reader(blob, press)
+            overlap = overlap + r.next("<u4").astype(np.int64)
+            if pairs is not None:
+                a, b = _pairs_of(pairs, press)
+                union = r.next("<u4").astype(np.int64) + r.next("<u4").astype(np.int64)
+        jaccard = overlap / (union - overlap)
+        near = jaccard >= t - 1e-12
+        return pa.table({"set_a": pa.array(a[near]), "set_b": pa.array(b[near]), "overlap": pa.array(overlap[near]), "jaccard": pa.array(jaccard[near])})
+
+    return total
 
 
 def shared_sets(docs: DataFrame, n: int, t: float) -> DataFrame:
@@ -280,21 +353,23 @@ def similar_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Dat
     A set goes by its smallest doc_id.
     """
     sets = shared_sets(docs, n, t)
-    rare = sets.select("set_id", "size", "prefix").mapInArrow(_prefix_rows, "set_id long, size int, gram long, p1 long, p2 long")
-    left, right = (rare.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "p1", "p2")]) for x in "ab")
+    rare = sets.select("set_id", "size", "home", "parts", "prefix").mapInArrow(_prefix_rows, "gram long, set_id long, about long, before long")
+    left, right = (rare.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "about", "before")]) for x in "ab")
     # a pair shows at its first common gram; where a gram just before is common as well, it has shown there
-    shown: Column = F.coalesce((F.col("p1_a") == F.col("p1_b")) | (F.col("p1_a") == F.col("p2_b")) | (F.col("p2_a") == F.col("p1_b")) | (F.col("p2_a") == F.col("p2_b")), F.lit(False))
-    likely = (F.col("set_id_a") < F.col("set_id_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(t) - 1e-9)
-    candidates = left.join(right, "gram").filter(likely & ~shown).select(F.col("set_id_a").alias("set_a"), F.col("set_id_b").alias("set_b"), "size_a", "size_b").distinct()
-    candidates = checkpointed(candidates.join(sets.select(F.col("set_id").alias("set_a"), "home"), "set_a"))
-
-    wanted = candidates.select(F.col("home").alias("place"), F.explode(F.array("set_a", "set_b")).alias("set_id")).distinct()
-    parts = wanted.join(sets.select("set_id", F.posexplode("parts").alias("slice", "part")), "set_id")
-    asked = candidates.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in range(CUTS)])))
-    partial = asked.groupBy("home", "cut").cogroup(parts.groupBy("place", "slice")).applyInArrow(_partial, "set_a long, set_b long, size_a int, size_b int, overlap long")
-    total = partial.groupBy("set_a", "set_b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    pairs = total.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= F.lit(t) - 1e-12).select("set_a", "set_b", "overlap", "jaccard")
+    (a1, a2), (b1, b2) = ((F.shiftright(f"before_{x}", 32), F.col(f"before_{x}").bitwiseAND(F.lit(0xFFFFFFFF))) for x in "ab")
+    a1, b1 = (x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a1, b1))
+    shown: Column = ((a1 != 0) & ((a1 == b1) | (a1 == b2))) | ((a2 != 0) & ((a2 == b1) | (a2 == b2)))
+    size_a, size_b = (F.shiftright(f"about_{x}", 32) for x in "ab")
+    likely = (F.col("set_id_a") < F.col("set_id_b")) & (F.least(size_a, size_b) >= F.greatest(size_a, size_b) * F.lit(t) - 1e-9)
+    home = F.col("about_a").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    candidates = left.join(right, "gram").filter(likely & ~shown).select(home.alias("home"), F.col("set_id_a").alias("set_a"), F.col("set_id_b").alias("set_b")).distinct()
+    packed = checkpointed(candidates.groupBy("home").applyInArrow(_gathered, "home int, pairs binary"))
+
+    wanted = packed.mapInArrow(_wanted, "place int, set_id long")
+    parts = wanted.join(sets.select("set_id", "size", F.posexplode("parts").alias("slice", "part")), "set_id")
+    asked = packed.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in range(CUTS)])))
+    partial = asked.groupBy("home", "cut").cogroup(parts.groupBy("place", "slice")).applyInArrow(_partial, "home int, overlaps binary, pairs binary")
+    pairs = partial.groupBy("home").applyInArrow(_summed(t), "set_a long, set_b long, overlap long, jaccard double")
     return sets.select("set_id", "size", "doc_ids"), pairs
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Sequence
 from dataclasses import asdict
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from lexigrain.operators.index import Analysis, Index, postings
 
 
+_log = logging.getLogger(__name__)
+
+
 class IndexNotFoundError(Exception):
     """No index of that name; ``code`` is 1."""
 
@@ -61,6 +65,7 @@ class IndexStore:
         found.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.storage}/{name}/postings/load_id={load}")
         meta |= {"loads": load, "total_documents": meta["total_documents"] + rows.count(), "id_type": found.schema["doc_id"].dataType.simpleString()}
         self._write_meta(name, meta)
+        _log.info("index %s: load %d, %d documents now", name, load, meta["total_documents"])
 
     def delete(self, name: str, ids: DataFrame | Sequence) -> None:
         index, meta = self.open(name), self.meta(name)

@@ -296,6 +296,12 @@ def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_many(_index(spark, sf_dir), phrases, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@_query()
+def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = index.build_index(_articles(spark, sf_dir), "doc_id", analysis=index.Analysis(stemmer="porter"))
+    return search.search(made, "that things with thatin").doc_scores
+
+
 # boolean search
 
 
@@ -339,6 +345,19 @@ def geo_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *[F.round(c, 9).alias(c) for c in made.columns if c != "doc_id"])
 
 
+@_query(f"WITH {_PLACES} SELECT doc_id, round(sin(radians(latitude)), 9) AS sin_lat FROM p UNION ALL SELECT 1000000000 + doc_id, round(sin(radians(latitude)), 9) FROM p")
+def geo_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _places(spark, sf_dir)
+    made = geo.geo_insert(geo.geo_index(places), places.withColumn("id", F.col("id") + 1000000000))
+    return made.select("doc_id", F.round("sin_lat", 9).alias("sin_lat"))
+
+
+@_query(f"WITH {_PLACES} SELECT doc_id, round(cos(radians(longitude)), 9) AS cos_lng FROM p WHERE doc_id NOT IN (1, 2, 3)")
+def geo_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = geo.geo_delete(geo.geo_index(_places(spark, sf_dir)), [1, 2, 3])
+    return made.select("doc_id", F.round("cos_lng", 9).alias("cos_lng"))
+
+
 @_query(f"""WITH {_PLACES}, box AS (SELECT *, sin(radians(latitude)) * sin(radians(48.15)) + cos(radians(latitude)) * cos(radians(48.15)) * (cos(radians(longitude)) * cos(radians(11.5833)) + sin(radians(longitude)) * sin(radians(11.5833))) AS near FROM p
 WHERE latitude BETWEEN 48.15 - 1500.0 / 111.045 AND 48.15 + 1500.0 / 111.045 AND longitude BETWEEN 11.5833 - 1500.0 / (111.045 * cos(radians(48.15))) AND 11.5833 + 1500.0 / (111.045 * cos(radians(48.15)))),
 best AS (SELECT doc_id, acos(greatest(-1.0, least(1.0, near))) * 6371 AS distance FROM box ORDER BY near DESC, doc_id LIMIT 10)
