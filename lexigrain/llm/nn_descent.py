@@ -7,11 +7,14 @@ graph has settled when a round hardly finds further edges above the threshold. A
 node whose whole list lies above the threshold is saturated and may have more
 such neighbours than its list can hold, so its list is enlarged to its whole
 connected component, compared block by block. The recall is then audited against
-brute force for some nodes, and another forest is planted where it is too low.
+brute force, for as many nodes as it takes to meet enough that have a neighbour
+above the threshold, and another forest is planted where it is too low. Where
+all nodes had to be audited, what brute force found is the result.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import warnings
 from collections.abc import Callable, Iterator
@@ -24,12 +27,14 @@ from pyspark.sql import functions as F
 from lexigrain.llm.common import checkpointed, shuffle_partitions
 from lexigrain.llm.ngram_join import components
 
-#: Least cosine of near duplicates; neighbours in a list; trees of a forest; nodes in a leaf.
+#: Least cosine of near duplicates; neighbours in a list; trees of a forest, for a table that needs no sign bits; nodes in a leaf.
 THRESHOLD, NEIGHBOURS, TREES, LEAF = 0.9, 16, 6, 128
-#: A refinement ends when a round adds at most this share of the edges above the threshold, and after so many rounds.
-SETTLED, ROUNDS = 0.001, 12
-#: Audited nodes, the recall that is asked for, forests at most.
-AUDITED, RECALL, FORESTS = 512, 0.97, 6
+#: A refinement ends when a round adds at most this share of the edges above the threshold.
+SETTLED = 0.001
+#: Nodes audited at first, nodes with a partner that an audit has to meet, the recall that is asked for, forests at most.
+AUDITED, PARTNERED, RECALL, FORESTS = 512, 400, 0.97, 6
+#: Bytes of vectors that are held against all others in one pass of an audit; of them that are compared at once.
+PASS_BYTES, ROWS = 4 << 20, 1024
 #: Vectors that share a tree's first splits; members of a join that are compared at once; nodes of a block of a component.
 TOP, CHUNK, BLOCK = 8192, 256, 1024
 #: Bytes of vectors that a task of a join should hold.
@@ -91,13 +96,13 @@ def _leaves(x: np.ndarray, rng: np.random.Generator, leaf: int) -> Iterator[np.n
         todo += [order[: len(order) // 2], order[len(order) // 2 :]]
 
 
-def _grow(seed: int, k: int, leaf: int) -> Callable[[pa.Table], pa.Table]:
+def _grow(seed: list[int], k: int, leaf: int) -> Callable[[pa.Table], pa.Table]:
     def grow(table: pa.Table) -> pa.Table:
         """Neighbours within the leaves of one part of one tree."""
         ids = table.column("id").to_numpy()
         order = np.argsort(ids)
         ids, x = ids[order], _vectors(table.column("vec"))[order]
-        rng = np.random.default_rng([seed, table.column("tree")[0].as_py(), table.column("code")[0].as_py()])
+        rng = np.random.default_rng([*seed, table.column("tree")[0].as_py(), table.column("code")[0].as_py()])
         node, member, sim = [], [], []
         for rows in _leaves(x, rng, leaf):
             if len(rows) > 1:
@@ -116,9 +121,20 @@ def _grow(seed: int, k: int, leaf: int) -> Callable[[pa.Table], pa.Table]:
     return grow
 
 
-def _planted(vecs: DataFrame, n: int, mean: np.ndarray, seed: int, k: int, trees: int, leaf: int) -> DataFrame:
+def _bits(n: int) -> int:
+    """Sign bits that part the vectors of a tree before halving."""
+    return max(0, math.ceil(math.log2(max(1, n / TOP))))
+
+
+def grown(n: int, trees: int, t: float) -> int:
+    """Trees of a forest over ``n`` vectors: each sign bit parts two with cosine ``t`` with a chance that so many more make up for."""
+    together = 1 - math.acos(min(1.0, max(0.0, t))) / math.pi
+    return math.ceil(trees * together ** -_bits(n))
+
+
+def _planted(vecs: DataFrame, n: int, mean: np.ndarray, seed: list[int], k: int, trees: int, leaf: int) -> DataFrame:
     """Edges of a forest. Signs along random lines through the mean part each tree's vectors, halving goes on within the parts."""
-    bits = max(0, math.ceil(math.log2(max(1, n / TOP))))
+    bits = _bits(n)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = np.random.default_rng(seed).standard_normal((trees, len(mean), bits)).astype(np.float32)
@@ -175,12 +191,12 @@ def _descended(vecs: DataFrame, graph: DataFrame, n: int, dim: int, k: int, t: f
     """The graph after rounds of joins, settled. All vectors take part in each round in which a list that holds them is new."""
     buckets = max(shuffle_partitions(vecs.sparkSession), math.ceil(2 * k * n * (4 * dim + 32) / JOIN_BYTES))
     lists = max(shuffle_partitions(vecs.sparkSession), math.ceil(n / 50_000))
-    for _ in range(ROUNDS):
+    for turn in itertools.count():
         both = graph.select(F.col("node").alias("center"), "member", "young").union(graph.select(F.col("member").alias("center"), F.col("node").alias("member"), "young"))
         both = both.groupBy("center", "member").agg(F.max("young").alias("young"))
         # a node that very many lists name has its members compared in chunks of them, other chunks each round
         size = both.groupBy("center").agg(F.count("*").alias("n"), F.max("young").alias("any")).filter("any")
-        both = both.join(size, "center").withColumn("chunk", F.pmod(F.xxhash64("member", "center", F.lit(_)), F.ceil(F.col("n") / CHUNK)).cast("int"))
+        both = both.join(size, "center").withColumn("chunk", F.pmod(F.xxhash64("member", "center", F.lit(turn)), F.ceil(F.col("n") / CHUNK)).cast("int"))
         least = graph.groupBy(F.col("node").alias("id")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
         known = vecs.join(least, "id", "left").select(F.col("id").alias("member"), "vec", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least"))
         joined = both.join(known, "member").select("center", "chunk", "member", "young", "least", "vec")
@@ -223,31 +239,53 @@ def _enlarged(vecs: DataFrame, graph: DataFrame, k: int, t: float) -> DataFrame:
     return rest.union(whole)
 
 
-def audit(vecs: DataFrame, edges: DataFrame, t: float, audited: int = AUDITED) -> float:
-    """Recall of ``edges`` for ``audited`` nodes (those with the smallest hash of the id) against comparison with every vector."""
-    chosen = vecs.orderBy(F.xxhash64("id"), "id").limit(audited).toArrow()
-    ids = chosen.column("id").to_numpy()
-    if not len(ids):
-        return 1.0
-    q = _vectors(chosen.column("vec"))
+def _partners(vecs: DataFrame, n: int, dim: int, t: float, first: int) -> Iterator[tuple[float, DataFrame]]:
+    """``query, other, sim`` of nodes against every vector, in passes that grow from ``first`` nodes, in order of the hash of the id; before each, the share of the nodes that is then done."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    low, size = 0.0, first
+    while low < 1:
+        high = min(1.0, low + size / max(1, n))
+        chosen = vecs.filter((place >= low) & (place < high)).toArrow()
+        ids = chosen.column("id").to_numpy()
+        q = _vectors(chosen.column("vec")) if len(ids) else np.empty((0, dim), np.float32)
+
+        def search(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, x = batch.column(0).to_numpy(), _vectors(batch.column(1)) if batch.num_rows else np.empty((0, dim), np.float32)
+                for a, b in itertools.product(range(0, len(own), ROWS), range(0, len(ids), ROWS)):
+                    s = x[a : a + ROWS] @ q[b : b + ROWS].T
+                    i, j = np.nonzero(s >= np.float32(t))
+                    differ = own[a + i] != ids[b + j]
+                    i, j = i[differ], j[differ]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[b + j]), pa.array(own[a + i]), pa.array(s[i, j])], ["query", "other", "sim"])
+
+        yield high, vecs.mapInArrow(search, "query long, other long, sim float")
+        low, size = high, min(4 * size, max(first, PASS_BYTES // (4 * dim)))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own = batch.column(0).to_numpy()
-                i, j = np.nonzero(_vectors(batch.column(1)) @ q.T >= np.float32(t + 1e-6))
-                differ = own[i] != ids[j]
-                a, b = own[i][differ], ids[j][differ]
-                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["query", "a", "b"])
 
-    truth = vecs.mapInArrow(search, "query long, a long, b long")
-    row = truth.join(edges.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left").groupBy("query").agg((F.count("found") / F.count("*")).alias("recall"), F.count("*").alias("n"), F.count("found").alias("found"))
-    total = row.agg(F.avg("recall").alias("mean"), F.sum("found").alias("found"), F.sum("n").alias("n")).first()
-    return 1.0 if not total["n"] else min(total["mean"], total["found"] / total["n"])
+def audit(vecs: DataFrame, edges: DataFrame, n: int, dim: int, t: float) -> tuple[float, DataFrame | None]:
+    """Recall of ``edges`` against comparison with every vector; and, where that took all nodes, all pairs as ``a, b, sim``.
+
+    Nodes are audited until ``PARTNERED`` of them have a partner: those that have
+    none prove nothing.
+    """
+    partners, seen, total, found, mean = None, 0, 0, 0, 0.0
+    known = edges.select("a", "b", F.lit(1).alias("found"))
+    for done, met in _partners(vecs, n, dim, t, AUDITED):
+        met = checkpointed(met)
+        partners = met if partners is None else partners.union(met)
+        truth = met.filter(F.col("sim") >= t + 1e-6).select("query", F.least("query", "other").alias("a"), F.greatest("query", "other").alias("b"))
+        row = truth.join(known, ["a", "b"], "left").groupBy("query").agg((F.count("found") / F.count("*")).alias("recall"), F.count("*").alias("n"), F.count("found").alias("found"))
+        row = row.agg(F.count("*").alias("seen"), F.sum("recall").alias("mean"), F.sum("found").alias("found"), F.sum("n").alias("n")).first()
+        seen, mean, found, total = seen + row["seen"], mean + (row["mean"] or 0), found + (row["found"] or 0), total + (row["n"] or 0)
+        if done >= 1:
+            return min(mean / seen, found / total) if seen else 1.0, partners.filter("query < other").select(F.col("query").alias("a"), F.col("other").alias("b"), "sim")
+        if seen >= PARTNERED:
+            return min(mean / seen, found / total), None
 
 
 def _of_one_length(rows: DataFrame, dim: int, t: float, k: int, trees: int, leaf: int) -> DataFrame:
-    vecs = checkpointed(rows.mapInArrow(_normed, "id long, vec binary"))
+    vecs = checkpointed(rows.mapInArrow(_normed, "id long, vec binary").repartition(shuffle_partitions(rows.sparkSession), "id"))
     n = vecs.count()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +300,15 @@ def _of_one_length(rows: DataFrame, dim: int, t: float, k: int, trees: int, leaf
     lists = max(shuffle_partitions(vecs.sparkSession), math.ceil(n / 50_000))
     graph = None
     for forest in range(FORESTS):
-        planted = _planted(vecs, n, mean, forest, k, trees, leaf)
-        graph = checkpointed(_merged(planted if graph is None else graph.withColumn("young", F.lit(False)).union(planted), lists, k))
+        wanted = grown(n, trees, t)
+        for at in range(0, wanted, trees):  # so many trees at a time, for the disk
+            planted = _planted(vecs, n, mean, [forest, at], k, min(trees, wanted - at), leaf)
+            graph = checkpointed(_merged(planted if graph is None else graph.withColumn("young", F.col("young") & F.lit(at > 0)).union(planted), lists, k))
         graph = _descended(vecs, graph, n, dim, k, t)
         edges = checkpointed(_enlarged(vecs, graph, k, t))
-        recall = audit(vecs, edges, t)
+        recall, exact = audit(vecs, edges, n, dim, t)
+        if exact is not None:
+            return exact
         if recall >= RECALL:
             return edges
     warnings.warn(f"near duplicates among embeddings were found with an audited recall of {recall:.3f}", stacklevel=2)
@@ -276,8 +318,10 @@ def _of_one_length(rows: DataFrame, dim: int, t: float, k: int, trees: int, leaf
 def near_embeddings(embeddings: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """``vec_id_a, vec_id_b, cosine``: pairs of ``embeddings(vec_id, embedding)`` with a cosine of ``t`` or more, each once, the smaller id first.
 
-    The search is approximate. Its recall is audited for ``AUDITED`` nodes; where
-    that is under ``RECALL`` another forest is planted and the graph refined on,
+    The search is approximate. Its recall is audited until ``PARTNERED`` nodes
+    with a near duplicate have been met, or all nodes have been compared, which
+    makes the result exact; where the recall is
+    under ``RECALL`` another forest is planted and the graph refined on,
     ``FORESTS`` times at most, and a warning tells of a recall that stays lower.
 
     Rows with a null vec_id, a null or empty embedding, one with a null, a NaN or

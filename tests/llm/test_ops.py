@@ -286,6 +286,29 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def sparse(n=2400, pairs=20, dim=64, seed=5):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, dim))
+    for i in range(0, 2 * pairs, 2):
+        x[i + 1] = x[i] + r.normal(size=dim) * 0.4
+    return x
+
+
+def test_few_near_embeddings_among_many(spark):
+    x = sparse()
+    docs = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>")
+    got = {(r[0], r[1]) for r in nn_descent.near_embeddings(docs, k=2, trees=1, leaf=8).collect()}
+    assert got == brute.cosines(x, 0.9) and len(got) >= 15
+
+
+def test_trees_grow_with_sign_bits():
+    assert nn_descent.grown(nn_descent.TOP, 6, 0.9) == 6
+    per_tree = 1 - np.arccos(0.9) / np.pi
+    for bits in (1, 5, 14):
+        trees = nn_descent.grown(nn_descent.TOP << bits, 6, 0.9)
+        assert trees * per_tree**bits >= 6 > (trees - 1) * per_tree**bits
+
+
 # --- pages
 
 
