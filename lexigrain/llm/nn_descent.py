@@ -9,14 +9,14 @@ such neighbours than its list can hold, so its list is enlarged to its whole
 connected component, compared block by block. The recall is then audited against
 brute force, for as many nodes as it takes to meet enough that have a neighbour
 above the threshold, and another forest is planted where it is too low. Where
-all nodes had to be audited, what brute force found is the result.
+all nodes had to be audited, or the recall stays low, what brute force finds is
+the result. Equal vectors are one node, and become pairs at the end.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +33,8 @@ THRESHOLD, NEIGHBOURS, TREES, LEAF = 0.9, 16, 6, 128
 SETTLED = 0.001
 #: Nodes audited at first, nodes with a partner that an audit has to meet, the recall that is asked for, forests at most.
 AUDITED, PARTNERED, RECALL, FORESTS = 512, 400, 0.97, 6
+#: A table with so many different vectors at most is compared whole after one forest with too low a recall: that is no dearer than a further one.
+SMALL = 200_000
 #: Bytes of vectors that are held against all others in one pass of an audit; of them that are compared at once.
 PASS_BYTES, ROWS = 4 << 20, 1024
 #: Vectors that share a tree's first splits; members of a join that are compared at once; nodes of a block of a component.
@@ -55,7 +57,7 @@ def _normed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.array(v, np.float64)
             with np.errstate(all="ignore"):
                 x = x / np.abs(x).max()  # so that squares neither overflow nor vanish
-                x = (x / np.linalg.norm(x)).astype(np.float32)
+                x = (x / np.linalg.norm(x)).astype(np.float32) + np.float32(0)  # no -0.0, so that equal vectors have equal bytes
             if np.isfinite(x).all():
                 ids.append(i)
                 out.append(x.tobytes())
@@ -284,8 +286,41 @@ def audit(vecs: DataFrame, edges: DataFrame, n: int, dim: int, t: float) -> tupl
             return min(mean / seen, found / total), None
 
 
+def _whole(vecs: DataFrame, n: int, dim: int, t: float) -> DataFrame:
+    """``a, b, sim``: all pairs by comparison of all vectors, pass by pass."""
+    size = max(AUDITED, PASS_BYTES // (4 * dim))
+    out = None
+    for _, met in _partners(vecs, n, dim, t, size):
+        met = checkpointed(met.filter("query < other").select(F.col("query").alias("a"), F.col("other").alias("b"), "sim"))
+        out = met if out is None else out.union(met)
+    return out
+
+
+def _expanded(edges: DataFrame, twins: DataFrame) -> DataFrame:
+    """``edges`` between nodes as pairs of all ids, ``twins(id, root, n)``: those of equal vectors, whose node is ``root``."""
+    left, right = (twins.select(F.col("root").alias(c), F.col("id").alias(f"{c}_id")) for c in ("a", "b"))
+    x, y = F.coalesce("a_id", "a"), F.coalesce("b_id", "b")
+    apart = edges.join(left, "a", "left").join(right, "b", "left").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "sim")
+    # a large group is spread over blocks of its ids
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = twins.select("root", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    others = twins.select("root", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    equal = own.join(others, ["root", "block"]).filter("a < b").select("a", "b", F.lit(1.0).cast("float").alias("sim"))
+    return apart.union(equal)
+
+
 def _of_one_length(rows: DataFrame, dim: int, t: float, k: int, trees: int, leaf: int) -> DataFrame:
-    vecs = checkpointed(rows.mapInArrow(_normed, "id long, vec binary").repartition(shuffle_partitions(rows.sparkSession), "id"))
+    every = checkpointed(rows.mapInArrow(_normed, "id long, vec binary"))
+    groups = checkpointed(every.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")).repartition(shuffle_partitions(rows.sparkSession), "id"))
+    many = groups.filter("n > 1")
+    edges = _between(groups.select("id", "vec"), dim, t, k, trees, leaf)
+    if many.isEmpty():
+        return edges
+    return _expanded(edges, checkpointed(every.join(many.select("vec", F.col("id").alias("root"), "n"), "vec").select("id", "root", "n")))
+
+
+def _between(vecs: DataFrame, dim: int, t: float, k: int, trees: int, leaf: int) -> DataFrame:
+    """``a, b, sim`` of vectors that all differ."""
     n = vecs.count()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +346,9 @@ def _of_one_length(rows: DataFrame, dim: int, t: float, k: int, trees: int, leaf
             return exact
         if recall >= RECALL:
             return edges
-    warnings.warn(f"near duplicates among embeddings were found with an audited recall of {recall:.3f}", stacklevel=2)
-    return edges
+        if n <= SMALL:
+            break
+    return _whole(vecs, n, dim, t)
 
 
 def near_embeddings(embeddings: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
@@ -320,9 +356,9 @@ def near_embeddings(embeddings: DataFrame, t: float = THRESHOLD, k: int = NEIGHB
 
     The search is approximate. Its recall is audited until ``PARTNERED`` nodes
     with a near duplicate have been met, or all nodes have been compared, which
-    makes the result exact; where the recall is
-    under ``RECALL`` another forest is planted and the graph refined on,
-    ``FORESTS`` times at most, and a warning tells of a recall that stays lower.
+    makes the result exact. Where the recall is under ``RECALL`` another forest is
+    planted and the graph refined on, up to ``FORESTS`` forests; where it stays
+    lower, or the table has at most ``SMALL`` different vectors, all are compared.
 
     Rows with a null vec_id, a null or empty embedding, one with a null, a NaN or
     an infinity in it or of zeros alone give no pair. Vectors of different

@@ -309,6 +309,24 @@ def test_trees_grow_with_sign_bits():
         assert trees * per_tree**bits >= 6 > (trees - 1) * per_tree**bits
 
 
+def test_nearly_all_embeddings_equal(spark):
+    x = np.tile(np.eye(16)[0], (600, 1))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))] + [(700, [0.0, 1.0]), (701, [-0.0, 2.0]), (702, [0.1, 1.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [(r[0], r[1]) for r in nn_descent.near_embeddings(docs, k=6, leaf=16).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == brute.cosines(x, 0.9) | {(700, 701), (700, 702), (701, 702)}
+
+
+def test_low_recall_of_embeddings_ends_in_comparison_of_all(spark, monkeypatch):
+    for name, value in (("PARTNERED", 8), ("AUDITED", 64), ("FORESTS", 1), ("RECALL", 1.01), ("PASS_BYTES", 64 * 64), ("ROWS", 40)):
+        monkeypatch.setattr(nn_descent, name, value)
+    x = clustered(520)
+    docs = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(520)], "vec_id long, embedding array<double>")
+    found = [(r[0], r[1]) for r in nn_descent.near_embeddings(docs, k=2, trees=1, leaf=8).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute.cosines(x, 0.9)
+
+
 # --- pages
 
 
