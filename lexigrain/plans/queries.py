@@ -241,6 +241,13 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", (F.length("term") - F.length(F.replace(F.col("term"), F.lit("e"), F.lit("")))).cast("long").alias("n"), F.levenshtein("term", F.lit("worthless")).cast("long").alias("distance"))
 
 
+@_query()
+def edit_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edit_distance`` over the whole dictionary, in characters. DuckDB's ``levenshtein`` counts bytes, so there is no SQL."""
+    terms = _index(spark, sf_dir).wordlist.select("term")
+    return terms.select("term", (F.length("term") - F.length(F.replace(F.col("term"), F.lit("e"), F.lit("")))).cast("long").alias("n"), F.levenshtein("term", F.lit("worthless")).cast("long").alias("distance"))
+
+
 # ranked search
 
 _GAIN = "ln((SELECT count(*) FROM documents) * 1.0 / greatest(1, df)) * (2.0 * hit_count) / (1 + hit_count)"

@@ -132,3 +132,14 @@ def test_rake(spark):
     text = "Deep red sea and red sea birds; the sea"
     got = [(r["phrase"], r["score"]) for r in keywords.rake(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("place").collect()]
     assert got == [("deep red sea", pytest.approx(25 / 3)), ("red sea birds", pytest.approx(25 / 3))]
+
+
+def test_edit_distance_of_whole_dictionary(spark):
+    from lexigrain.plans import queries as plans
+    from tests.compare import DATA
+
+    sf_dir = str(DATA / "sf0.001")
+    got = {r["term"]: (r["n"], r["distance"]) for r in plans.QUERIES["edit_distance_all"](spark, sf_dir).collect()}
+    terms = {r["term"] for r in plans.QUERIES["wordlist"](spark, sf_dir).collect()}
+    assert any(not t.isascii() for t in terms)
+    assert got == {t: (t.count("e"), S.edit_distance(t, "worthless")) for t in terms}
