@@ -129,16 +129,35 @@ def test_removal_leaves_first_copies(spark, odd):
 # --- near pairs
 
 
+def near_rows(rows, n, t):
+    pairs = brute.near(rows, n, t)
+    root, links = brute.roots(pairs), {}
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    return sorted(((d, root[d], links[d]) for d in links), key=repr)
+
+
 @pytest.mark.parametrize("n, t", [(3, 0.4), (1, 0.8), (2, 0.25)])
-def test_near_pairs(spark, odd, n, t):
-    got = {}
-    for r in ngram_join.near_pairs(table(spark, odd), n, t).collect():
-        for a in r["doc_ids_a"]:
-            for b in r["doc_ids_b"]:
-                if a != b:
-                    assert (min(a, b), max(a, b)) not in got or r["doc_ids_a"] == r["doc_ids_b"]
-                    got[min(a, b), max(a, b)] = r["jaccard"]
-    assert got == pytest.approx(brute.near(odd, n, t))
+def test_near_documents(spark, odd, n, t):
+    assert rows_of(ngram_join.near_documents(table(spark, odd), n, t)) == near_rows(odd, n, t)
+
+
+@pytest.mark.parametrize("setting", [("BLOCK", 3), ("FLUSH_GRAMS", 50), ("FRAGMENT_BYTES", 40)])
+def test_small_blocks_of_near_documents(spark, odd, monkeypatch, setting):
+    monkeypatch.setattr(ngram_join, *setting)
+    assert rows_of(ngram_join.near_documents(table(spark, odd))) == near_rows(odd, 3, 0.4)
+
+
+def test_one_gram_in_every_document(spark):
+    r = random.Random(8)
+    text = lambda i: f"one for all {' '.join(r.choice('abcdefghijklmnop') * 3 for _ in range(30))} {i}"
+    rows = [(i, text(i)) for i in range(200)] + [(i, "one for all one for all") for i in range(200, 400)] + [(i, f"one for all of us and number {i} and all the rest of the words") for i in range(400, 430)]
+    assert rows_of(ngram_join.near_documents(table(spark, rows))) == near_rows(rows, 3, 0.4)
+
+
+def test_no_shared_gram_in_the_lowest_bucket(spark):
+    rows = [(i, f"w{i} x{i} y{i} z{i}") for i in range(300)] + [(1000, "w7 x7 y7 z7 more")]
+    assert rows_of(ngram_join.near_documents(table(spark, rows))) == near_rows(rows, 3, 0.4) == [(1000, 7, 1), (7, 7, 1)]
 
 
 def test_one_of_each_group(spark, odd):
@@ -413,7 +432,7 @@ def test_other_vocabulary(spark, tmp_path):
 # --- empty tables
 
 
-@pytest.mark.parametrize("operator", [exact_dedup.exact_duplicates, exact_dedup.drop_exact_duplicates, substring_dedup.repeated_passages, suffix_dedup.suffix_repeats, ngram_join.near_pairs, ngram_join.keep_one_of_each_group, packing.pack_documents])
+@pytest.mark.parametrize("operator", [exact_dedup.exact_duplicates, exact_dedup.drop_exact_duplicates, substring_dedup.repeated_passages, suffix_dedup.suffix_repeats, ngram_join.near_documents, ngram_join.keep_one_of_each_group, packing.pack_documents])
 def test_no_rows(spark, operator):
     for rows in ([], [(None, None)], [(1, None)], [(2, "")]):
         got = operator(table(spark, rows)).count()
