@@ -219,15 +219,15 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def blocks_of(rarity: np.ndarray) -> np.ndarray:
-    """Blocks of the documents of a gram, by its class of rarity."""
-    return np.ceil(2.0 ** ((rarity.astype(np.int64) + 1) / 8) / BLOCK).astype(np.int64)
+def blocks_of(rarity: np.ndarray, block: int) -> np.ndarray:
+    """Blocks of about ``block`` of the documents of a gram, by its class of rarity."""
+    return np.ceil(2.0 ** ((rarity.astype(np.int64) + 1) / 8) / block).astype(np.int64)
 
 
 _ROW = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("sign", pa.binary()), ("docs", pa.list_(pa.int64())), ("home", pa.int32()), ("spread", pa.int32()), ("parts", pa.list_(pa.binary())), ("prefix", pa.binary())])
 
 
-def _assembler(t: float, fragments: int, homes: int) -> Callable[[pa.Table], pa.Table]:
+def _assembler(t: float, fragments: int, homes: int, block: int) -> Callable[[pa.Table], pa.Table]:
     cuts = cuts_for(fragments)
 
     def assemble(table: pa.Table) -> pa.Table:
@@ -269,7 +269,7 @@ def _assembler(t: float, fragments: int, homes: int) -> Callable[[pa.Table], pa.
             rare, end = np.full(b - a, _COMMON, np.uint8), a + (b - a) - least + 1
             rare[np.searchsorted(ids, gid[a:end])] = rarity[a:end]
             row = (
-                int(doc[a]), n, signature if b - a == n else b"d%d" % doc[a], sorted(members), int(mixed(ids[:1].astype(np.uint64))[0] % np.uint64(homes)), int(blocks_of(rarity[a + lead : a + lead + 1])[0]),
+                int(doc[a]), n, signature if b - a == n else b"d%d" % doc[a], sorted(members), int(mixed(ids[:1].astype(np.uint64))[0] % np.uint64(homes)), int(blocks_of(rarity[a + lead : a + lead + 1], block)[0]),
                 [_pressed(x, squeeze) for x in np.split(ids, np.searchsorted(ids, edges))], squeeze.compress(rare.tobytes()),
             )
             for column, value in zip(out.values(), row):
@@ -279,35 +279,38 @@ def _assembler(t: float, fragments: int, homes: int) -> Callable[[pa.Table], pa.
     return assemble
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each rare gram of a set and each cell of the gram, with the two grams before it in order of rarity (-1: none).
+def _prefixer(block_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each rare gram of a set and each cell of the gram, with the two grams before it in order of rarity (-1: none).
 
-    The documents of a gram are in blocks, and a cell is a pair of blocks;
-    ``block`` is -1 in the cell of a block with itself.
-    """
-    press = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            piece = batch.slice(at, 500)
-            lists, classes = [], []
-            for parts, rare in zip(piece.column("parts").to_pylist(), piece.column("prefix").to_pylist()):
-                ids, rarity = np.concatenate([_unpressed(x, press) for x in parts]), np.frombuffer(press.decompress(rare), np.uint8)
-                ids, rarity = ids[rarity < _COMMON], rarity[rarity < _COMMON]
-                order = np.lexsort((ids, rarity))
-                lists.append(ids[order])
-                classes.append(rarity[order])
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            gram, blocks = np.concatenate(lists), blocks_of(np.concatenate(classes))
-            place, owner = _ramp(sizes), np.repeat(np.arange(len(lists)), sizes)
-            one, two = (np.where(place < k, -1, np.roll(gram, k)) for k in (1, 2))
-            block = (mixed(piece.column("set_id").to_numpy().astype(np.uint64))[owner] % blocks.astype(np.uint64)).astype(np.int64)
-            row, other = np.repeat(np.arange(len(gram)), blocks), _ramp(blocks)
-            low, high = np.minimum(block[row], other), np.maximum(block[row], other)
-            cell = low * blocks[row] + high
-            key = np.where(cell > 0, mixed(gram[row].astype(np.uint64) + mixed(cell.astype(np.uint64))).astype(np.int64), gram[row])
-            owner = pa.array(owner[row])
-            mine = np.where(low == high, -1, block[row])
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[piece.column(c).take(owner) for c in ("set_id", "size", "home", "spread")], pa.array(mine.astype(np.int32)), pa.array(one[row]), pa.array(two[row])], ["gram", "set_id", "size", "home", "spread", "block", "one", "two"])
+        The documents of a gram are in blocks, and a cell is a pair of blocks;
+        ``block`` is -1 in the cell of a block with itself.
+        """
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                lists, classes = [], []
+                for parts, rare in zip(piece.column("parts").to_pylist(), piece.column("prefix").to_pylist()):
+                    ids, rarity = np.concatenate([_unpressed(x, press) for x in parts]), np.frombuffer(press.decompress(rare), np.uint8)
+                    ids, rarity = ids[rarity < _COMMON], rarity[rarity < _COMMON]
+                    order = np.lexsort((ids, rarity))
+                    lists.append(ids[order])
+                    classes.append(rarity[order])
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                gram, blocks = np.concatenate(lists), blocks_of(np.concatenate(classes), block_docs)
+                place, owner = _ramp(sizes), np.repeat(np.arange(len(lists)), sizes)
+                one, two = (np.where(place < k, -1, np.roll(gram, k)) for k in (1, 2))
+                block = (mixed(piece.column("set_id").to_numpy().astype(np.uint64))[owner] % blocks.astype(np.uint64)).astype(np.int64)
+                row, other = np.repeat(np.arange(len(gram)), blocks), _ramp(blocks)
+                low, high = np.minimum(block[row], other), np.maximum(block[row], other)
+                cell = low * blocks[row] + high
+                key = np.where(cell > 0, mixed(gram[row].astype(np.uint64) + mixed(cell.astype(np.uint64))).astype(np.int64), gram[row])
+                owner = pa.array(owner[row])
+                mine = np.where(low == high, -1, block[row])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[piece.column(c).take(owner) for c in ("set_id", "size", "home", "spread")], pa.array(mine.astype(np.int32)), pa.array(one[row]), pa.array(two[row])], ["gram", "set_id", "size", "home", "spread", "block", "one", "two"])
+
+    return prefix_rows
 
 
 def _gathered(table: pa.Table) -> pa.Table:
@@ -419,7 +422,7 @@ def shared_sets(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
     buckets = buckets_for(docs, FRAGMENT_BYTES)
     sent = slim.mapInArrow(_sender(n, buckets), "fragment int, data binary")
     back = sent.groupBy("fragment").applyInArrow(_sharer(buckets), "bucket int, data binary")
-    rows = back.groupBy("bucket").applyInArrow(_assembler(t, buckets, buckets), "doc_id long, size int, sign binary, docs array<long>, home int, spread int, parts array<binary>, prefix binary")
+    rows = back.groupBy("bucket").applyInArrow(_assembler(t, buckets, buckets, BLOCK), "doc_id long, size int, sign binary, docs array<long>, home int, spread int, parts array<binary>, prefix binary")
     rows = checkpointed(rows)
     # of a set that many tasks saw, each sends its part of the documents: no row holds them all
     members = rows.select("sign", F.explode("docs").alias("doc_id")).distinct()
@@ -435,7 +438,7 @@ def linked_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Data
     set that links lead to, and over all rows these make the connected components.
     """
     sets, members, fragments = shared_sets(docs, n, t)
-    rare = sets.select("set_id", "size", "home", "spread", "parts", "prefix").mapInArrow(_prefix_rows, "gram long, set_id long, size int, home int, spread int, block int, one long, two long")
+    rare = sets.select("set_id", "size", "home", "spread", "parts", "prefix").mapInArrow(_prefixer(BLOCK), "gram long, set_id long, size int, home int, spread int, block int, one long, two long")
     names = ("set_id", "size", "home", "spread", "block", "one", "two")
     left, right = (rare.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
     # a pair shows at its first common gram; where a gram just before is common as well, it has shown there

@@ -6,11 +6,16 @@ that name it hold are compared with each other, and each keeps its nearest. The
 graph has settled when a round hardly finds further edges above the threshold. A
 node whose whole list lies above the threshold is saturated and may have more
 such neighbours than its list can hold, so its list is enlarged to its whole
-connected component, compared block by block. The recall is then audited against
+connected component: saturated nodes are compared with all nodes of it, block by
+block, and only the counts leave a block. The recall is then audited against
 brute force, for as many nodes as it takes to meet enough that have a neighbour
 above the threshold, and another forest is planted where it is too low. Where
 all nodes had to be audited, or the recall stays low, what brute force finds is
-the result. Equal vectors are one node, and become pairs at the end.
+the result.
+
+Equal vectors are one node. The result has one row for each vector that has a
+near duplicate, with its class and its number of links, so a cluster of c
+vectors has c rows and its pairs are never shuffled or written.
 """
 
 from __future__ import annotations
@@ -21,11 +26,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.common import checkpointed, shuffle_partitions
-from lexigrain.llm.ngram_join import components
+from lexigrain.llm.ngram_join import components, local_roots
 
 #: Least cosine of near duplicates; neighbours in a list; trees of a forest, for a table that needs no sign bits; nodes in a leaf.
 THRESHOLD, NEIGHBOURS, TREES, LEAF = 0.9, 16, 6, 128
@@ -38,11 +43,13 @@ SMALL = 200_000
 #: Bytes of vectors that are held against all others in one pass of an audit; of them that are compared at once.
 PASS_BYTES, ROWS = 4 << 20, 1024
 #: Vectors that share a tree's first splits; members of a join that are compared at once; nodes of a block of a component.
-TOP, CHUNK, BLOCK = 8192, 256, 1024
+TOP, CHUNK, BLOCK = 8192, 256, 4096
 #: Bytes of vectors that a task of a join should hold.
 JOIN_BYTES = 16 << 20
 
 _EDGE = "node long, member long, sim float, young boolean"
+#: ``node`` has so many links, counted in vectors, that other rows don't count, and is connected with ``other``.
+_LINKS = "node long, other long, links long"
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -146,7 +153,7 @@ def _planted(vecs: DataFrame, n: int, mean: np.ndarray, seed: list[int], k: int,
                 codes = (x @ lines[t] > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(codes, pa.int64()), *batch.columns], ["tree", "code", "id", "vec"])
 
-    parts = vecs.mapInArrow(code, "tree int, code long, id long, vec binary")
+    parts = vecs.select("id", "vec").mapInArrow(code, "tree int, code long, id long, vec binary")
     return parts.groupBy("tree", "code").applyInArrow(_grow(seed, k, leaf), _EDGE)
 
 
@@ -210,44 +217,61 @@ def _descended(vecs: DataFrame, graph: DataFrame, n: int, dim: int, k: int, t: f
     return graph
 
 
-def _enlarged(vecs: DataFrame, graph: DataFrame, k: int, t: float) -> DataFrame:
-    """``a, b, sim``: edges above the threshold, a < b. Components with a saturated node are compared whole, in blocks."""
+def _counted(edges: DataFrame, vecs: DataFrame) -> DataFrame:
+    """Links of plain edges ``a, b``, each counted at both ends."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    return both.join(vecs.select(F.col("id").alias("other"), F.col("many").alias("links")), "other").select("node", "other", "links")
+
+
+def _enlarged(graph: DataFrame, k: int, t: float) -> tuple[DataFrame, DataFrame | None]:
+    """``a, b`` above the threshold, a < b; and, if there are any, ``node, root, full`` of the components with a saturated node, ``full`` where it is one."""
     near = graph.filter(F.col("sim") >= t)
-    edges = near.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    full = near.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node")
+    edges = checkpointed(near.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")).distinct())
+    full = near.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node", F.lit(True).alias("full"))
     if full.isEmpty():
-        return edges
-    root = checkpointed(components(edges.select("a", "b")))
-    wide = root.join(full, "node", "left_semi").select("root").distinct()
-    nodes = root.join(wide, "root", "left_semi")
-    sized = nodes.join(nodes.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = sized.select("root", "node", "block", other).select("root", "node", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    rows = spread.join(vecs, spread["node"] == vecs["id"]).select("root", "p", "q", "block", "node", "vec")
+        return edges, None
+    root = checkpointed(components(edges))
+    wide = root.join(full, "node").select("root").distinct()
+    return edges, checkpointed(root.join(wide, "root").join(full, "node", "left").select("node", "root", F.coalesce("full", F.lit(False)).alias("full")))
+
+
+def _links(vecs: DataFrame, edges: DataFrame, wide: DataFrame | None, t: float) -> DataFrame:
+    """``_LINKS`` of a settled graph: of edges without a saturated end, and of saturated nodes with all nodes of their components, in blocks."""
+    if wide is None:
+        return _counted(edges, vecs)
+    full = wide.filter("full").select("node")
+    rest = edges.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    sized = wide.join(wide.groupBy("root").agg(blocks.alias("blocks"), F.ceil(F.sum(F.col("full").cast("int")) / BLOCK).cast("int").alias("full_blocks")), "root")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = sized.filter("full").select("root", "node", "full", F.lit(True).alias("asks"), place("full_blocks").alias("p"), each("blocks").alias("q"))
+    held = sized.select("root", "node", "full", F.lit(False).alias("asks"), place("blocks").alias("q"), each("full_blocks").alias("p")).select(asked.columns)
+    rows = asked.union(held).join(vecs, F.col("node") == vecs["id"]).select("root", "p", "q", "node", "full", "asks", "many", "vec")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        x, p, q = _vectors(table.column("vec")), table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        i, j = np.nonzero(x[left] @ x[right].T >= np.float32(t)) if len(left) and len(right) else (np.empty(0, np.int64),) * 2
-        a, b = left[i], right[j]
-        if p == q:
-            a, b = a[ids[a] < ids[b]], b[ids[a] < ids[b]]
-        sim = np.einsum("ij,ij->i", x[a], x[b])
-        return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), pa.int64()), "b": pa.array(np.maximum(ids[a], ids[b]), pa.int64()), "sim": pa.array(sim, pa.float32())})
-
-    whole = rows.groupBy("root", "p", "q").applyInArrow(compare, "a long, b long, sim float")
-    rest = edges.join(root.withColumnRenamed("node", "a"), "a").join(wide, "root", "left_anti").select("a", "b", "sim")
-    return rest.union(whole)
+        ids, asks, full, many = (table.column(c).to_numpy() for c in ("node", "asks", "full", "many"))
+        x, left, right = _vectors(table.column("vec")), np.flatnonzero(asks), np.flatnonzero(~asks)
+        ask_links, links = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        for at in range(0, len(left), ROWS):
+            some = left[at : at + ROWS]
+            near = (x[some] @ x[right].T >= np.float32(t)) & (ids[some, None] != ids[None, right])
+            ask_links[at : at + ROWS] = near @ many[right]
+            links += many[some] @ near
+        right, links = right[~full[right]], links[~full[right]]  # those of saturated nodes are counted where they ask
+        node, count = np.concatenate((ids[left], ids[right])), np.concatenate((ask_links, links))
+        node, count = node[count > 0], count[count > 0]
+        return pa.table({"node": pa.array(node, pa.int64()), "other": pa.array(np.full(len(node), table.column("root")[0].as_py()), pa.int64()), "links": pa.array(count, pa.int64())})
+
+    return _counted(rest, vecs).union(rows.groupBy("root", "p", "q").applyInArrow(compare, _LINKS))
 
 
 def _partners(vecs: DataFrame, n: int, dim: int, t: float, first: int) -> Iterator[tuple[float, DataFrame]]:
     """``query, other, sim`` of nodes against every vector, in passes that grow from ``first`` nodes, in order of the hash of the id; before each, the share of the nodes that is then done."""
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     low, size = 0.0, first
     while low < 1:
         high = min(1.0, low + size / max(1, n))
-        chosen = vecs.filter((place >= low) & (place < high)).toArrow()
+        chosen = vecs.filter((_place() >= low) & (_place() < high)).toArrow()
         ids = chosen.column("id").to_numpy()
         q = _vectors(chosen.column("vec")) if len(ids) else np.empty((0, dim), np.float32)
 
@@ -265,62 +289,82 @@ def _partners(vecs: DataFrame, n: int, dim: int, t: float, first: int) -> Iterat
         low, size = high, min(4 * size, max(first, PASS_BYTES // (4 * dim)))
 
 
-def audit(vecs: DataFrame, edges: DataFrame, n: int, dim: int, t: float) -> tuple[float, DataFrame | None]:
-    """Recall of ``edges`` against comparison with every vector; and, where that took all nodes, all pairs as ``a, b, sim``.
+def audit(vecs: DataFrame, edges: DataFrame, wide: DataFrame | None, n: int, dim: int, t: float) -> tuple[float, DataFrame | None]:
+    """Recall of a graph against comparison with every vector; and, where that took all nodes, all pairs as ``a, b``.
 
-    Nodes are audited until ``PARTNERED`` of them have a partner: those that have
-    none prove nothing.
+    A pair is found if it is an edge, or one of it is saturated and both are in
+    one component. Nodes are audited until ``PARTNERED`` of them have a partner:
+    those that have none prove nothing.
     """
     partners, seen, total, found, mean = None, 0, 0, 0, 0.0
-    known = edges.select("a", "b", F.lit(1).alias("found"))
+    known = edges.select("a", "b", F.lit(1).alias("edge"))
     for done, met in _partners(vecs, n, dim, t, AUDITED):
         met = checkpointed(met)
         partners = met if partners is None else partners.union(met)
         truth = met.filter(F.col("sim") >= t + 1e-6).select("query", F.least("query", "other").alias("a"), F.greatest("query", "other").alias("b"))
-        row = truth.join(known, ["a", "b"], "left").groupBy("query").agg((F.count("found") / F.count("*")).alias("recall"), F.count("*").alias("n"), F.count("found").alias("found"))
+        truth = truth.join(known, ["a", "b"], "left").withColumn("found", F.col("edge"))
+        if wide is not None:
+            for x in "ab":
+                truth = truth.join(wide.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("full").alias(f"full_{x}")), x, "left")
+            truth = truth.withColumn("found", F.coalesce("edge", F.when((F.col("root_a") == F.col("root_b")) & (F.col("full_a") | F.col("full_b")), 1)))
+        row = truth.groupBy("query").agg((F.count("found") / F.count("*")).alias("recall"), F.count("*").alias("n"), F.count("found").alias("found"))
         row = row.agg(F.count("*").alias("seen"), F.sum("recall").alias("mean"), F.sum("found").alias("found"), F.sum("n").alias("n")).first()
         seen, mean, found, total = seen + row["seen"], mean + (row["mean"] or 0), found + (row["found"] or 0), total + (row["n"] or 0)
         if done >= 1:
-            return min(mean / seen, found / total) if seen else 1.0, partners.filter("query < other").select(F.col("query").alias("a"), F.col("other").alias("b"), "sim")
+            return min(mean / seen, found / total) if seen else 1.0, partners.filter("query < other").select(F.col("query").alias("a"), F.col("other").alias("b"))
         if seen >= PARTNERED:
             return min(mean / seen, found / total), None
 
 
 def _whole(vecs: DataFrame, n: int, dim: int, t: float) -> DataFrame:
-    """``a, b, sim``: all pairs by comparison of all vectors, pass by pass."""
-    size = max(AUDITED, PASS_BYTES // (4 * dim))
-    out = None
-    for _, met in _partners(vecs, n, dim, t, size):
-        met = checkpointed(met.filter("query < other").select(F.col("query").alias("a"), F.col("other").alias("b"), "sim"))
+    """``_LINKS`` by comparison of all vectors, pass by pass; of a batch and a pass only counts and connections leave the task."""
+    size, low, out = max(AUDITED, PASS_BYTES // (4 * dim)), 0.0, None
+    while low < 1:
+        high = min(1.0, low + size / max(1, n))
+        chosen = vecs.filter((_place() >= low) & (_place() < high)).toArrow()
+        ids, many = chosen.column("id").to_numpy(), chosen.column("many").to_numpy()
+        q = _vectors(chosen.column("vec")) if len(ids) else np.empty((0, dim), np.float32)
+
+        def search(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, x = batch.column("id").to_numpy(), _vectors(batch.column("vec")) if batch.num_rows else np.empty((0, dim), np.float32)
+                links, hits = np.zeros(len(own), np.int64), [np.empty((2, 0), np.int64)]
+                for a, b in itertools.product(range(0, len(own), ROWS), range(0, len(ids), ROWS)):
+                    near = (x[a : a + ROWS] @ q[b : b + ROWS].T >= np.float32(t)) & (own[a : a + ROWS, None] != ids[None, b : b + ROWS])
+                    links[a : a + ROWS] += near @ many[b : b + ROWS]
+                    hits.append(np.stack(np.nonzero(near)) + [[a], [b]])
+                i, j = np.concatenate(hits, axis=1)
+                nodes, place = np.unique(np.concatenate((own[i], ids[j])), return_inverse=True)
+                root = nodes[local_roots(place[: len(i)], place[len(i) :], len(nodes))]
+                count = np.zeros(len(nodes), np.int64)
+                mine = np.flatnonzero(links)
+                count[np.searchsorted(nodes, own[mine])] = links[mine]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(count)], ["node", "other", "links"])
+
+        met = checkpointed(vecs.mapInArrow(search, _LINKS))
         out = met if out is None else out.union(met)
+        low = high
     return out
 
 
-def _expanded(edges: DataFrame, twins: DataFrame) -> DataFrame:
-    """``edges`` between nodes as pairs of all ids, ``twins(id, root, n)``: those of equal vectors, whose node is ``root``."""
-    left, right = (twins.select(F.col("root").alias(c), F.col("id").alias(f"{c}_id")) for c in ("a", "b"))
-    x, y = F.coalesce("a_id", "a"), F.coalesce("b_id", "b")
-    apart = edges.join(left, "a", "left").join(right, "b", "left").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "sim")
-    # a large group is spread over blocks of its ids
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = twins.select("root", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    others = twins.select("root", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    equal = own.join(others, ["root", "block"]).filter("a < b").select("a", "b", F.lit(1.0).cast("float").alias("sim"))
-    return apart.union(equal)
+def _place() -> Column:
+    """A node's place in the order of the hash of its id, from 0 to 1."""
+    return F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
 def _of_one_length(rows: DataFrame, dim: int, t: float, k: int, trees: int, leaf: int) -> DataFrame:
     every = checkpointed(rows.mapInArrow(_normed, "id long, vec binary"))
-    groups = checkpointed(every.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")).repartition(shuffle_partitions(rows.sparkSession), "id"))
-    many = groups.filter("n > 1")
-    edges = _between(groups.select("id", "vec"), dim, t, k, trees, leaf)
-    if many.isEmpty():
-        return edges
-    return _expanded(edges, checkpointed(every.join(many.select("vec", F.col("id").alias("root"), "n"), "vec").select("id", "root", "n")))
+    vecs = checkpointed(every.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("many")).repartition(shuffle_partitions(rows.sparkSession), "id").select("id", "vec", "many"))
+    links = checkpointed(_between(vecs, dim, t, k, trees, leaf))
+    root = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    total = links.groupBy(F.col("node").alias("id")).agg(F.sum("links").alias("links"))
+    named = vecs.join(total, "id", "left").join(root.select(F.col("node").alias("id"), "root"), "id", "left")
+    named = named.select("vec", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links")).filter("n_links > 0")
+    return every.join(named, "vec").select("id", "class_id", "n_links")
 
 
 def _between(vecs: DataFrame, dim: int, t: float, k: int, trees: int, leaf: int) -> DataFrame:
-    """``a, b, sim`` of vectors that all differ."""
+    """``_LINKS`` of vectors that all differ."""
     n = vecs.count()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,31 +384,36 @@ def _between(vecs: DataFrame, dim: int, t: float, k: int, trees: int, leaf: int)
             planted = _planted(vecs, n, mean, [forest, at], k, min(trees, wanted - at), leaf)
             graph = checkpointed(_merged(planted if graph is None else graph.withColumn("young", F.col("young") & F.lit(at > 0)).union(planted), lists, k))
         graph = _descended(vecs, graph, n, dim, k, t)
-        edges = checkpointed(_enlarged(vecs, graph, k, t))
-        recall, exact = audit(vecs, edges, n, dim, t)
+        edges, wide = _enlarged(graph, k, t)
+        recall, exact = audit(vecs, edges, wide, n, dim, t)
         if exact is not None:
-            return exact
+            return _counted(exact, vecs)
         if recall >= RECALL:
-            return edges
+            return _links(vecs, edges, wide, t)
         if n <= SMALL:
             break
     return _whole(vecs, n, dim, t)
 
 
 def near_embeddings(embeddings: DataFrame, t: float = THRESHOLD, k: int = NEIGHBOURS, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """``vec_id_a, vec_id_b, cosine``: pairs of ``embeddings(vec_id, embedding)`` with a cosine of ``t`` or more, each once, the smaller id first.
+    """``vec_id, class_id, n_links`` of each of ``embeddings(vec_id, embedding)`` that has a cosine of ``t`` or more with another.
+
+    ``n_links`` counts the other vectors that are so near, equal ones included. A
+    class is a connected component of these links and goes by its smallest vec_id.
 
     The search is approximate. Its recall is audited until ``PARTNERED`` nodes
     with a near duplicate have been met, or all nodes have been compared, which
     makes the result exact. Where the recall is under ``RECALL`` another forest is
     planted and the graph refined on, up to ``FORESTS`` forests; where it stays
     lower, or the table has at most ``SMALL`` different vectors, all are compared.
+    The members of a join that more than ``CHUNK`` lists name are compared in
+    random parts of that size, others each round; ties in lists go by id.
 
     Rows with a null vec_id, a null or empty embedding, one with a null, a NaN or
-    an infinity in it or of zeros alone give no pair. Vectors of different
-    length aren't compared. A vec_id counts once: of its different vectors the
-    smallest in order. Equal vectors are pairs as others are; other columns
-    aren't read; an empty table gives an empty result.
+    an infinity in it or of zeros alone give no row, nor do those without a link.
+    Vectors of different length aren't compared. A vec_id counts once: of its
+    different vectors the smallest in order. Other columns aren't read; an empty
+    table gives an empty result.
     """
     slim = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     slim = slim.filter("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x))").groupBy("id").agg(F.min("v").alias("v"))
@@ -374,5 +423,5 @@ def near_embeddings(embeddings: DataFrame, t: float = THRESHOLD, k: int = NEIGHB
         if part is not None:
             out = part if out is None else out.union(part)
     if out is None:
-        out = slim.sparkSession.createDataFrame([], "a long, b long, sim float")
-    return out.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"), F.col("sim").cast("double").alias("cosine"))
+        out = slim.sparkSession.createDataFrame([], "id long, class_id long, n_links long")
+    return out.select(F.col("id").alias("vec_id"), "class_id", "n_links")
