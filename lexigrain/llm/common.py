@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -27,27 +26,39 @@ def fresh(taken: Iterable[str], base: str) -> str:
     return name
 
 
+#: Spark removes an execution's shuffle files as it ends, instead of whenever the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, ``spark.checkpoint.dir``; only a session without one (a local test) gets a folder of its own."""
+    """The folder that the cluster shares, ``spark.checkpoint.dir``. Only a session that runs on one machine may be without one and gets a temporary folder."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrain-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the shared folder.
-
-    Shuffle files of the lineage that nothing refers to any more are given up right away.
-    """
-    shared_folder(df.sparkSession)
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder. The shuffle files that led to it go at once."""
     spark = df.sparkSession
-    out = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    shared_folder(spark)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting counts for plans made from now on
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+def released(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing will read again."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from lexigrain.llm.common import WordHash, buckets_for, checkpointed, fresh, mixed, rows_of, window_hashes, word_hashes
+from lexigrain.llm.common import WordHash, buckets_for, checkpointed, fresh, mixed, released, rows_of, window_hashes, word_hashes
 
 N, THRESHOLD, BITS = 3, 0.4, 56
 #: Input bytes a fragment of the first pass should hold; grams a task gathers before it sends them; documents of a gram that one cell compares.
@@ -98,7 +98,7 @@ def _unpressed(blob: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
 
 def cuts_for(fragments: int) -> int:
     """Groups of fragments in which overlaps are counted: they grow with the number of fragments, slowly, since each costs every task a part."""
-    return 2 + fragments.bit_length()
+    return 1 + fragments.bit_length() // 2
 
 
 def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -422,8 +422,7 @@ def shared_sets(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
     buckets = buckets_for(docs, FRAGMENT_BYTES)
     sent = slim.mapInArrow(_sender(n, buckets), "fragment int, data binary")
     back = sent.groupBy("fragment").applyInArrow(_sharer(buckets), "bucket int, data binary")
-    rows = back.groupBy("bucket").applyInArrow(_assembler(t, buckets, buckets, BLOCK), "doc_id long, size int, sign binary, docs array<long>, home int, spread int, parts array<binary>, prefix binary")
-    rows = checkpointed(rows)
+    rows = checkpointed(back.groupBy("bucket").applyInArrow(_assembler(t, buckets, buckets, BLOCK), "doc_id long, size int, sign binary, docs array<long>, home int, spread int, parts array<binary>, prefix binary"))
     # of a set that many tasks saw, each sends its part of the documents: no row holds them all
     members = rows.select("sign", F.explode("docs").alias("doc_id")).distinct()
     first = lambda c: F.min_by(c, "doc_id").alias(c)
@@ -450,7 +449,7 @@ def linked_sets(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[Data
     found = left.join(right, "gram").filter(once & likely & ~shown).select(F.least("set_id_a", "set_id_b").alias("set_a"), F.greatest("set_id_a", "set_id_b").alias("set_b"), smaller("home").alias("home"), smaller("spread").cast("long").alias("spread"))
     # a home is for sets of one lowest gram; where that is frequent it has a cell for each pair of blocks
     cell = F.pmod(F.xxhash64("set_a"), F.col("spread")) * F.col("spread") + F.pmod(F.xxhash64("set_b"), F.col("spread"))
-    candidates = found.select("home", cell.alias("cell"), "set_a", "set_b").distinct()
+    candidates = found.select("home", cell.alias("cell"), "set_a", "set_b")
     packed = checkpointed(candidates.groupBy("home", "cell").applyInArrow(_gathered, "home int, cell long, pairs binary"))
 
     wanted = packed.mapInArrow(_wanted, "place int, place_cell long, set_id long")
@@ -501,9 +500,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("l")).select("l.*").filter("u <> v").distinct()
         after = checkpointed(small)
-        if after.count() == links.count() and after.join(links, ["u", "v"], "left_anti").isEmpty():
-            break
+        settled = after.count() == links.count() and after.join(links, ["u", "v"], "left_anti").isEmpty()
+        released(links)
         links = after
+        if settled:
+            break
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
 

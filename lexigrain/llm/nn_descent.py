@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import checkpointed, shuffle_partitions
+from lexigrain.llm.common import checkpointed, released, shuffle_partitions
 from lexigrain.llm.ngram_join import components, local_roots
 
 #: Least cosine of near duplicates; neighbours in a list; trees of a forest, for a table that needs no sign bits; nodes in a leaf.
@@ -210,7 +210,8 @@ def _descended(vecs: DataFrame, graph: DataFrame, n: int, dim: int, k: int, t: f
         known = vecs.join(least, "id", "left").select(F.col("id").alias("member"), "vec", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least"))
         joined = both.join(known, "member").select("center", "chunk", "member", "young", "least", "vec")
         found = joined.groupBy(F.pmod(F.xxhash64("center"), F.lit(buckets))).applyInArrow(lambda _, x: _compared(k)(x), _EDGE)
-        graph = checkpointed(_merged(graph.withColumn("young", F.lit(False)).union(found), lists, k))
+        before, graph = graph, checkpointed(_merged(graph.withColumn("young", F.lit(False)).union(found), lists, k))
+        released(before)
         counts = graph.filter(F.col("sim") >= t).agg(F.count("*").alias("all"), F.coalesce(F.sum(F.col("young").cast("long")), F.lit(0)).alias("young")).first()
         if counts["young"] <= SETTLED * counts["all"]:
             break
@@ -382,7 +383,9 @@ def _between(vecs: DataFrame, dim: int, t: float, k: int, trees: int, leaf: int)
         wanted = grown(n, trees, t)
         for at in range(0, wanted, trees):  # so many trees at a time, for the disk
             planted = _planted(vecs, n, mean, [forest, at], k, min(trees, wanted - at), leaf)
-            graph = checkpointed(_merged(planted if graph is None else graph.withColumn("young", F.col("young") & F.lit(at > 0)).union(planted), lists, k))
+            before, graph = graph, checkpointed(_merged(planted if graph is None else graph.withColumn("young", F.col("young") & F.lit(at > 0)).union(planted), lists, k))
+            if before is not None:
+                released(before)
         graph = _descended(vecs, graph, n, dim, k, t)
         edges, wide = _enlarged(graph, k, t)
         recall, exact = audit(vecs, edges, wide, n, dim, t)
