@@ -1,19 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-A window of text that the toxic dictionary compresses better by some bytes, to
-hardly more than a frame without text takes, is evidence, and a document with a
-certain share of such windows is toxic; the three cut-offs are calibrated on
-labelled documents that training didn't see.
-
-A window is one word with its bounds: an insult is one word, and in a longer
-window the ordinary words beside it outweigh it. Frames of one word differ by a
-byte or two at most, so each character is first written as four bytes, which
-makes a shared stem worth many bytes and leaves chance pairs of letters worth
-none. The toxic dictionary is trained on what is distinctive of toxic text,
-words that occur in many different contexts there and hardly in ordinary text;
-counting contexts rather than documents keeps copies of one text from passing
-for evidence.
+Two zstandard dictionaries are trained, one on the ordinary and one on the toxic
+documents. Toxic documents are ordinary but for a few words, so of them the
+dictionary learns from the windows that the ordinary one compresses badly. A
+window of text that both dictionaries together compress better than the ordinary
+one alone by some bytes, to hardly more than a frame without text takes, is
+evidence, and a document with a certain share of such windows is toxic. The size
+of the toxic dictionary and the three cut-offs are calibrated on labelled
+documents that training didn't see. No words are picked by their counts.
+
+A window is one word with its bounds: in a longer window the ordinary words
+beside a toxic one outweigh it. Frames of one word differ by a byte or two at
+most, so each character is first written as four bytes, which makes a shared
+stem worth many bytes and leaves chance pairs of letters worth none. README has
+the recall for windows of several words and for other ways of training.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lexigrain.llm.common import WordHash, mixed, rows_of, word_hashes
+from lexigrain.llm.common import rows_of
 
 #: At most so many labelled documents of each class train the model, those with the smallest hash of doc_id; every third calibrates it.
 MAX_TOXIC, MAX_ORDINARY = 4_000, 8_000
-#: A distinctive word has at least this share of contexts per document, and this many times the other class's share.
-LEAST_SHARE, LEAST_RATIO = 0.01, 20
-ORDINARY_BYTES, TOXIC_BYTES = 65_536, 8_192
+#: Bytes of the toxic dictionary, between which calibration decides, of the ordinary one, and of the segments that training chooses.
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT = (4_096, 8_192), 131_072, 16
+#: The toxic dictionary learns from windows of which the ordinary one leaves more bytes than this, beyond an empty frame.
+RESIDUE = 6
 #: How many toxic documents missed weigh as much as one ordinary document blamed, by share of their class.
 CLEAN_WEIGHT = 10.0
 #: Windows a worker remembers before it starts anew.
@@ -81,7 +82,7 @@ class Gains(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.plain, self.toxic = (self._compressor(d) for d in (model.ordinary, model.toxic))
+        self.plain, self.toxic = (self._compressor(d) for d in (model.ordinary, model.ordinary + model.toxic))
         self.most, self.empty = model.left, len(self.toxic(_MARK + widened("\n")))
 
     @staticmethod
@@ -104,71 +105,56 @@ class Gains(dict):
         return gain
 
 
-def _content(samples: list[str], size: int) -> bytes:
-    """Widened content of a dictionary trained on the samples; of a few samples, themselves."""
+def _content(samples: list[str], size: int, segment: int) -> bytes:
+    """Widened content of a dictionary trained on the samples; of too few samples for that, themselves."""
     try:
-        raw = zstandard.train_dictionary(size, [s.encode() for s in samples], k=24, d=6, split_point=1.0).as_bytes()
+        raw = zstandard.train_dictionary(size, [s.encode() for s in samples], k=segment, d=6).as_bytes()
     except zstandard.ZstdError:
-        raw = "".join(samples).encode()[-size:]
-    return widened(raw.decode("utf-8", "ignore"))
-
-
-def _distinctive(texts: dict[bool, list[list[str]]]) -> dict[bool, set[str]]:
-    memo, counts = WordHash(), {}
-    for kind, docs in texts.items():
-        words, around = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for w in docs:
-            h = word_hashes(["", *w, ""], memo)
-            words.append(h[1:-1])
-            around.append(mixed(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)))
-        at = np.unique(np.concatenate(around), return_index=True)[1]
-        kinds, n = np.unique(np.concatenate(words)[at], return_counts=True)
-        counts[kind] = (kinds, n)
-    out: dict[bool, set[str]] = {}
-    for kind, docs in texts.items():
-        own, n = counts[kind]
-        other, m = counts[not kind]
-        at = np.searchsorted(other, own)
-        there = np.where((at < len(other)) & (other[np.minimum(at, max(0, len(other) - 1))] == own) if len(other) else np.zeros(len(own), bool), m[np.minimum(at, max(0, len(m) - 1))] if len(m) else 0, 0)
-        good = (n >= max(3, LEAST_SHARE * len(docs))) & (n / max(1, len(docs)) > LEAST_RATIO * (there + 0.5) / max(1, len(texts[not kind])))
-        keep = own[good]
-        out[kind] = {w for d in docs for w, k in zip(d, np.isin(word_hashes(d, memo), keep).tolist()) if k}
-    return out
+        return widened("".join(samples))
+    return widened(raw[raw.rindex(b"\0\0\0") + 3 :].decode("utf-8", "ignore"))  # the content follows the tables, which end in zeros
 
 
 def fit(texts: list[str], toxic: list[bool]) -> Model | None:
-    """The model; none where a class is missing or has nothing distinctive."""
+    """The model; none where a class is missing."""
     split: dict[bool, dict[bool, list[list[str]]]] = {part: {kind: [] for kind in (False, True)} for part in (False, True)}
     seen = {}
     for text, kind in zip(texts, toxic):
         seen.setdefault(text, kind)
     number = {False: 0, True: 0}
     for text, kind in seen.items():
-        split[number[kind] % 3 == 2][kind].append(windows(text))
-        number[kind] += 1
+        if words := windows(text):
+            split[number[kind] % 3 == 2][kind].append(words)
+            number[kind] += 1
     learn, judge = split[False], split[True]
     if not learn[True] or not learn[False]:
         return None
-    words = _distinctive(learn)
-    lines = lambda docs, keep=None: [f"\n{'\n'.join(w)}\n" for w in ([x for x in dict.fromkeys(d) if keep is None or x in keep] for d in docs) if w]
-    own = lines(learn[True], words[True])
-    if not own:
-        return None
-    model = Model(_content(lines(learn[False]), ORDINARY_BYTES), _content(own, TOXIC_BYTES))
-    gains = Gains(model)
     if not judge[True] or not judge[False]:
         judge = learn
-    known = {w: gains.measured(w) for docs in judge.values() for d in docs for w in set(d)}
-    measures = {kind: [np.array([known[w] for w in d] or [(gains.NONE, 0)]) for d in judge[kind]] for kind in judge}
-    best = (np.inf, 0, 0, 0.0)
-    for left in (0, 1, 2, 3, 5, 1 << 20):
-        for gain in range(2, 15):
-            shares = {kind: np.array([((m[:, 0] >= gain) & (m[:, 1] <= left)).mean() for m in measures[kind]]) for kind in judge}
-            for share in (0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02):
-                cost = (shares[True] < share).mean() + CLEAN_WEIGHT * (shares[False] >= share).mean()
-                if cost < best[0] - 1e-12:
-                    best = (cost, gain, left, share)
-    return Model(model.ordinary, model.toxic, *best[1:])
+    lines = lambda words: f"\n{'\n'.join(dict.fromkeys(words))}\n"
+    ordinary = _content([lines(d) for d in learn[False]], ORDINARY_BYTES, SEGMENT)
+    plain = Gains(Model(ordinary, b""))
+    residue = {w: plain.measured(w)[1] for w in {w for d in learn[True] for w in d}}
+    kinds = list({w for docs in judge.values() for d in docs for w in d})
+    number_of = {w: i for i, w in enumerate(kinds)}
+    places = {kind: [np.fromiter(map(number_of.__getitem__, d), np.int64, len(d)) for d in judge[kind]] for kind in judge}
+    flat = {kind: np.concatenate(places[kind]) for kind in judge}
+    sizes = {kind: np.array([len(d) for d in places[kind]]) for kind in judge}
+    starts = {kind: np.cumsum(sizes[kind]) - sizes[kind] for kind in judge}
+    best, model = np.inf, None
+    odd = [kept for d in learn[True] if (kept := [w for w in d if residue[w] > RESIDUE])]
+    for size in TOXIC_BYTES if odd else ():
+        tried = Model(ordinary, _content([lines(d) for d in odd], size, SEGMENT))
+        gains = Gains(tried)
+        measured = np.array([gains.measured(w) for w in kinds])
+        for left in (0, 1, 2, 3, 5, 8, 1 << 20):
+            for gain in range(2, 15):
+                hit = (measured[:, 0] >= gain) & (measured[:, 1] <= left)
+                shares = {kind: np.add.reduceat(hit[flat[kind]].astype(np.int64), starts[kind]) / sizes[kind] for kind in judge}
+                for share in (0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02):
+                    cost = (shares[True] < share).mean() + CLEAN_WEIGHT * (shares[False] >= share).mean()
+                    if cost < best - 1e-12:
+                        best, model = cost, Model(tried.ordinary, tried.toxic, gain, left, share)
+    return model
 
 
 def _fit_group(table: pa.Table) -> pa.Table:
