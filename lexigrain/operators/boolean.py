@@ -57,7 +57,7 @@ def boolean_documents(index: Index, expression: str, options: SearchOptions = Se
     stem = stemmer(index.analysis.stemmer)
     postfix = to_postfix(expression)
     names = sorted({t for t in postfix if t not in _BINDS})
-    entries = {t: [e.term for e in expansions(words, stem(t).lower(), fuzzy)] for t in names}
+    entries = {t: [e.term for e in found] for t, found in zip(names, expansions(words, [stem(t).lower() for t in names], fuzzy))}
     flags = {t: f"has_{i}" for i, t in enumerate(names)}
 
     def fold(leaf, yes, no, both, either, negate):

@@ -33,8 +33,12 @@ def load_model(spark: SparkSession, path: str) -> BayesModel:
 
 
 def _terms(rows: DataFrame, key: str, text: str, by: str, stem: str) -> DataFrame:
-    words = rows.select(key, F.explode(tokenizer(by).tokens(F.col(text))).alias("word"))
-    return words.withColumn("term", stemmed(F.col("word"), stem)).select(key, "term") if stem != "no" else words.withColumnRenamed("word", "term")
+    """``key, term, n``: how often each term comes in the rows of a key. Stems are taken of the distinct words and joined back."""
+    words = rows.select(F.col(key), F.explode(tokenizer(by).tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    if stem == "no":
+        return words
+    stems = words.select("term").distinct().withColumn("stem", stemmed(F.col("term"), stem))
+    return words.join(stems, "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
 
 
 def train(examples: DataFrame, text: str = "text", label: str = "label", order: str | None = None, tokenizer_name: str = "default", stemmer_name: str = "no") -> BayesModel:
@@ -42,7 +46,7 @@ def train(examples: DataFrame, text: str = "text", label: str = "label", order:
     known = examples.filter(F.col(label).isNotNull())
     rank = F.min(F.col(order)) if order else F.min(F.col(label))
     docs = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), rank.alias("first"))
-    words = _terms(known, label, text, tokenizer_name, stemmer_name).groupBy(F.col(label).alias("label"), "term").agg(F.count("*").alias("n"))
+    words = _terms(known, label, text, tokenizer_name, stemmer_name).select(F.col(label).alias("label"), "term", "n")
     return BayesModel(docs, words, tokenizer_name, stemmer_name)
 
 
@@ -70,7 +74,7 @@ def log_likelihoods(model: BayesModel, rows: DataFrame, key: str = "doc_id", tex
     labels = model.class_docs.join(totals, "label", "left").crossJoin(F.broadcast(vocabulary)).crossJoin(F.broadcast(all_docs))
     labels = labels.select("label", "first", F.log(F.col("n") / F.col("docs")).alias("prior"), F.log((F.coalesce("words", F.lit(0)) + F.col("v")).cast("double")).alias("base"))
     sized = rows.select(key, F.size(tokenizer(model.tokenizer).tokens(F.col(text))).alias("size"))
-    terms = _terms(rows, key, text, model.tokenizer, model.stemmer).groupBy(key, "term").agg(F.count("*").alias("times"))
+    terms = _terms(rows, key, text, model.tokenizer, model.stemmer).withColumnRenamed("n", "times")
     shared = terms.join(model.class_words, "term").groupBy(key, "label").agg(F.sum(F.col("times") * F.log((F.col("n") + 1).cast("double"))).alias("gain"))
     every = sized.crossJoin(F.broadcast(labels))
     return every.join(shared, [key, "label"], "left").select(key, "label", "first", (F.col("prior") - F.when(F.col("size") > 0, F.col("size") * F.col("base")).otherwise(F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("likelihood"))

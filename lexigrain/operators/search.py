@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,13 +79,43 @@ def fuzzy_terms(words: DataFrame, keyword: str, options: SearchOptions = SearchO
     return alike.withColumn("distance", F.levenshtein("term", F.lit(key))).filter(F.col("distance") <= options.distance).orderBy("distance", F.desc("num_hits"), "term")
 
 
-def expansions(words: DataFrame, keyword: str, options: SearchOptions, last: bool = False) -> list[Expansion]:
-    """The entries that a query term stands for. At most ``max_expansions`` and one rows come to the driver."""
-    found = (lookup_prefix if options.as_you_type and last else lookup_exact)(words, keyword).limit(1).collect()
-    if options.fuzziness and (not found or options.no_limit):
-        seen = {r["term"] for r in found}
-        found += [r for r in fuzzy_terms(words, keyword, options).collect() if r["term"] not in seen]
-    return [Expansion(r["term"], r["num_hits"], r["num_docs"], i) for i, r in enumerate(found)]
+def expansions(words: DataFrame, keywords: list[str], options: SearchOptions = SearchOptions()) -> list[list[Expansion]]:
+    """The entries that each query term stands for, found in one pass over the dictionary.
+
+    With ``as_you_type`` the last keyword is a beginning. At most
+    ``max_expansions`` and one rows for each keyword come to the driver.
+    """
+    asked: list[tuple[str, str]] = []  # what is looked up how
+    wanted = []
+    for at, keyword in enumerate(keywords):
+        own = [("prefix" if options.as_you_type and at == len(keywords) - 1 else "exact", keyword.lower())]
+        if options.fuzziness:
+            own.append(("fuzzy", keyword.lower()))
+        wanted.append(own)
+        asked += [x for x in own if x not in asked]
+    if not asked:
+        return []
+    term = F.col("term")
+    fits = [term == key if kind == "exact" else term.startswith(key if kind == "prefix" else key[: options.prefix_length]) for kind, key in asked]
+    looked = F.filter(F.array(*[F.when(fit, F.lit(i)) for i, fit in enumerate(fits)]), lambda x: x.isNotNull())
+    rows = words.filter(reduce(or_, fits)).select("term", "num_hits", "num_docs", F.explode(looked).alias("asked"))
+    short = F.when(F.col("asked").isin([i for i, (kind, _) in enumerate(asked) if kind == "prefix"]), F.length("term")).otherwise(F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("asked").orderBy(short, F.desc("num_hits"), "term"))
+    most = F.when(F.col("asked").isin([i for i, (kind, _) in enumerate(asked) if kind == "fuzzy"]), F.lit(options.max_expansions)).otherwise(F.lit(1))
+    keys = F.array(*[F.lit(key) for _, key in asked])
+    rows = rows.withColumn("nth", nth).filter((F.col("nth") <= options.max_expansions + 1) & (F.col("nth") <= most))
+    found: dict[tuple[str, str], list] = {x: [] for x in asked}
+    for r in rows.withColumn("distance", F.levenshtein("term", F.element_at(keys, F.col("asked") + 1))).collect():
+        if asked[r["asked"]][0] != "fuzzy" or r["distance"] <= options.distance:
+            found[asked[r["asked"]]].append(r)
+    out = []
+    for own in wanted:
+        entries = list(found[own[0]])
+        if len(own) > 1 and (not entries or options.no_limit):
+            seen = {r["term"] for r in entries}
+            entries += [r for r in sorted(found[own[1]], key=lambda r: (r["distance"], -r["num_hits"], r["term"])) if r["term"] not in seen]
+        out.append([Expansion(r["term"], r["num_hits"], r["num_docs"], i) for i, r in enumerate(entries)])
+    return out
 
 
 def scores(index: Index, phrase: str, options: SearchOptions = SearchOptions(), words: DataFrame | None = None) -> DataFrame:
@@ -97,10 +129,7 @@ def scores(index: Index, phrase: str, options: SearchOptions = SearchOptions(),
     words = index.wordlist if words is None else words
     spark = index.postings.sparkSession
     tokens = query_terms(spark, phrase, index.analysis)
-    rows = []
-    for at, token in enumerate(tokens):
-        found = expansions(words, token, options, at == len(tokens) - 1)
-        rows += [(at, e.term, e.place, found[0].num_docs) for e in found]
+    rows = [(at, e.term, e.place, found[0].num_docs) for at, found in enumerate(expansions(words, tokens, options)) for e in found]
     query = spark.createDataFrame(rows, "at int, term string, place int, df long")
     idf = F.log(F.lit(float(index.total_documents)) / F.greatest(F.lit(1), "df")) if index.total_documents else F.lit(0.0)
     terms = sorted({r[1] for r in rows})
@@ -137,7 +166,8 @@ def search_many(index: Index, phrases: DataFrame, limit: int = 100, words: DataF
 
     words = index.wordlist if words is None else words
     asked = phrases.select("query_id", F.explode(tokenizer(index.analysis.tokenizer).tokens(F.col("phrase"))).alias("word"))
-    asked = asked.withColumn("term", stemmed(F.col("word"), index.analysis.stemmer)).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = asked.groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    asked = asked.withColumn("term", stemmed(F.col("word"), index.analysis.stemmer)).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
     known = asked.join(words.select("term", "num_docs"), "term").withColumn("idf", F.log(F.lit(float(max(1, index.total_documents))) / F.col("num_docs")))
     gain = F.col("times") * F.col("idf") * (2 * F.col("hit_count")) / (1 + F.col("hit_count"))
     scored = known.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), DECIMALS).alias("score"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import logging
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
 
@@ -12,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lexigrain.operators.index import Analysis, Index, postings
 
-
 _log = logging.getLogger(__name__)
+_VERSION = re.compile(r"info-(\d+)\.json")
 
 
 class IndexNotFoundError(Exception):
@@ -22,12 +25,27 @@ class IndexNotFoundError(Exception):
     code = 1
 
 
+def shared_storage(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares, ``spark.checkpoint.dir``; only a session on one machine may be without that."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/indexes-{uuid.uuid4().hex}"
+
+
 class IndexStore:
     """Indexes by name below one folder, which may be on any file system that Spark knows.
 
     Postings lie in one folder for each load, ranged and sorted by term, so that
     a search reads few row groups. A deletion is a list of ids that concerns the
     loads before it; ``compact`` writes what is left as one load.
+
+    Every change writes its folders first and then one new version of the
+    index's file, ``info-<n>.json``, which lists the folders that count. A reader
+    takes the newest version, so it sees all of a change or nothing, and what a
+    broken-off change left behind is never read. Of two changes at once one fails.
     """
 
     def __init__(self, spark: SparkSession, storage: str) -> None:
@@ -39,8 +57,14 @@ class IndexStore:
     def _files(self, name: str = ""):
         return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self, name: str) -> list[int]:
+        if not self._files().exists(self._path(name)):
+            return []
+        found = [_VERSION.fullmatch(f.getPath().getName()) for f in self._files().listStatus(self._path(name))]
+        return sorted(int(m[1]) for m in found if m)
+
     def exists(self, name: str) -> bool:
-        return self._files().exists(self._path(f"{name}/info.json"))
+        return bool(self._versions(name))
 
     def flush(self, name: str) -> None:
         """Delete an index; one that isn't there is as good as deleted."""
@@ -48,61 +72,87 @@ class IndexStore:
 
     def create(self, name: str, source: DataFrame | None = None, primary_key: str = "id", include_primary_key: bool = False, analysis: Analysis = Analysis(), filemap: DataFrame | None = None, info: dict[str, str] | None = None) -> Index:
         """Make an index anew, in place of one of that name, and load ``source``."""
-        self.flush(name)
-        meta = {"primary_key": primary_key, "include_primary_key": include_primary_key, "analysis": asdict(analysis), "total_documents": 0, "loads": 0, "id_type": None, "info": info or {}, "filemap": filemap is not None}
-        self._write_meta(name, meta)
+        before = self.meta(name) if self.exists(name) else {"next": 1}
+        meta = {"primary_key": primary_key, "include_primary_key": include_primary_key, "analysis": asdict(analysis), "total_documents": 0, "next": before["next"], "loads": [], "deleted": [], "id_type": None, "info": info or {}, "filemap": None}
         if filemap is not None:
-            filemap.write.mode("overwrite").parquet(f"{self.storage}/{name}/filemap")
+            meta["filemap"] = f"filemap-{meta['next']}"
+            filemap.write.mode("overwrite").parquet(f"{self.storage}/{name}/{meta['filemap']}")
         if source is not None:
-            self.insert(name, source)
+            meta = self._loaded(name, meta, source)
+        self._write_meta(name, meta | {"next": meta["next"] + 1})
+        self._sweep(name, meta)
         return self.open(name)
 
-    def insert(self, name: str, rows: DataFrame) -> None:
-        """Add rows as one load; ids that are there already aren't replaced."""
-        meta = self.meta(name)
-        found = postings(rows, meta["primary_key"], meta["include_primary_key"], self._analysis(meta))
-        load = meta["loads"] + 1
-        found.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.storage}/{name}/postings/load_id={load}")
-        meta |= {"loads": load, "total_documents": meta["total_documents"] + rows.count(), "id_type": found.schema["doc_id"].dataType.simpleString()}
-        self._write_meta(name, meta)
-        _log.info("index %s: load %d, %d documents now", name, load, meta["total_documents"])
+    def insert(self, name: str, rows: DataFrame, info: dict[str, str] | None = None) -> None:
+        """Add rows as one load; ids that are there already aren't replaced. ``info`` becomes known with the load."""
+        meta = self._loaded(name, self.meta(name), rows)
+        self._write_meta(name, meta | {"info": meta["info"] | (info or {})})
+        _log.info("index %s: load %d, %d documents now", name, meta["loads"][-1], meta["total_documents"])
 
     def delete(self, name: str, ids: DataFrame | Sequence) -> None:
-        index, meta = self.open(name), self.meta(name)
-        gone = index._ids(ids)
-        removed = index.postings.select("doc_id").join(gone, "doc_id", "left_semi").distinct()
-        load = meta["loads"] + 1
-        removed.write.mode("overwrite").parquet(f"{self.storage}/{name}/deleted/load_id={load}")
-        count = self.spark.read.parquet(f"{self.storage}/{name}/deleted/load_id={load}").count()
-        self._write_meta(name, meta | {"loads": load, "total_documents": meta["total_documents"] - count})
-
-    def update(self, name: str, rows: DataFrame) -> None:
-        self.delete(name, rows.select(self.meta(name)["primary_key"]))
-        self.insert(name, rows)
+        self._write_meta(name, self._freed(name, self.meta(name), ids))
+
+    def update(self, name: str, rows: DataFrame, info: dict[str, str] | None = None) -> None:
+        """Rows replace those of the same id, or are added, in one change."""
+        meta = self.meta(name)
+        meta = self._loaded(name, self._freed(name, meta, rows.select(meta["primary_key"])), rows)
+        self._write_meta(name, meta | {"info": meta["info"] | (info or {})})
 
     def compact(self, name: str) -> None:
         """Write what is left of all loads as one; the old ones go after."""
-        meta, load = self.meta(name), self.meta(name)["loads"] + 1
-        left = self.open(name).postings
-        left.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.storage}/{name}/compacted-{load}")
+        meta = self.meta(name)
+        load = meta["next"]
+        self._write_postings(name, load, self.open(name).postings)
+        meta |= {"next": load + 1, "loads": [load], "deleted": []}
+        self._write_meta(name, meta)
+        self._sweep(name, meta)
+
+    def _write_postings(self, name: str, load: int, rows: DataFrame) -> None:
+        rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.storage}/{name}/postings/load_id={load}")
+
+    def _loaded(self, name: str, meta: dict, rows: DataFrame) -> dict:
+        found, load = postings(rows, meta["primary_key"], meta["include_primary_key"], self._analysis(meta)), meta["next"]
+        self._write_postings(name, load, found)
+        return meta | {"next": load + 1, "loads": [*meta["loads"], load], "total_documents": meta["total_documents"] + rows.count(), "id_type": found.schema["doc_id"].dataType.simpleString()}
+
+    def _freed(self, name: str, meta: dict, ids: DataFrame | Sequence) -> dict:
+        index, load = self.open(name), meta["next"]
+        removed = index.postings.select("doc_id").join(index._ids(ids), "doc_id", "left_semi").distinct()
+        path = f"{self.storage}/{name}/deleted/load_id={load}"
+        removed.write.mode("overwrite").parquet(path)
+        return meta | {"next": load + 1, "deleted": [*meta["deleted"], load], "total_documents": meta["total_documents"] - self.spark.read.parquet(path).count()}
+
+    def _sweep(self, name: str, meta: dict) -> None:
+        """Delete folders and versions that the newest version doesn't need."""
+        newest = self._versions(name)[-1]
+        for number in self._versions(name)[:-1]:
+            self._files().delete(self._path(f"{name}/info-{number}.json"), False)
+        keep = {f"postings/load_id={i}" for i in meta["loads"]} | {f"deleted/load_id={i}" for i in meta["deleted"]}
         for part in ("postings", "deleted"):
-            self._files().delete(self._path(f"{name}/{part}"), True)
-        self._files().mkdirs(self._path(f"{name}/postings"))
-        self._files().rename(self._path(f"{name}/compacted-{load}"), self._path(f"{name}/postings/load_id={load}"))
-        self._write_meta(name, meta | {"loads": load})
+            if self._files().exists(self._path(f"{name}/{part}")):
+                for f in self._files().listStatus(self._path(f"{name}/{part}")):
+                    if f"{part}/{f.getPath().getName()}" not in keep:
+                        self._files().delete(f.getPath(), True)
+        for f in self._files().listStatus(self._path(name)):
+            if (own := f.getPath().getName()).startswith("filemap-") and own != meta["filemap"] or own.endswith(".new") and own != f"info-{newest + 1}.json.new":
+                self._files().delete(f.getPath(), True)
 
     def open(self, name: str) -> Index:
         """The index as it is now."""
         meta = self.meta(name)
         kind = meta["id_type"] or "bigint"
-        if self._files().exists(self._path(f"{name}/postings")):
-            rows = self.spark.read.schema(f"term string, doc_id {kind}, hit_count bigint, load_id int").parquet(f"{self.storage}/{name}/postings")
-        else:
-            rows = self.spark.createDataFrame([], f"term string, doc_id {kind}, hit_count bigint, load_id int")
-        if self._files().exists(self._path(f"{name}/deleted")):
-            gone = self.spark.read.schema(f"doc_id {kind}, load_id int").parquet(f"{self.storage}/{name}/deleted").groupBy("doc_id").agg(F.max("load_id").alias("until"))
+
+        def loads(part: str, numbers: list[int], schema: str) -> DataFrame:
+            base = f"{self.storage}/{name}/{part}"
+            if not numbers:
+                return self.spark.createDataFrame([], schema)
+            return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/load_id={i}" for i in numbers])
+
+        rows = loads("postings", meta["loads"], f"term string, doc_id {kind}, hit_count bigint, load_id int")
+        if meta["deleted"]:
+            gone = loads("deleted", meta["deleted"], f"doc_id {kind}, load_id int").groupBy("doc_id").agg(F.max("load_id").alias("until"))
             rows = rows.join(gone, (rows["doc_id"] == gone["doc_id"]) & (rows["load_id"] < gone["until"]), "left_anti")
-        filemap = self.spark.read.parquet(f"{self.storage}/{name}/filemap") if meta["filemap"] else None
+        filemap = self.spark.read.parquet(f"{self.storage}/{name}/{meta['filemap']}") if meta["filemap"] else None
         return Index(rows.select("term", "doc_id", "hit_count"), meta["total_documents"], meta["primary_key"], self._analysis(meta), meta["include_primary_key"], filemap, self.info(name))
 
     def info(self, name: str) -> dict[str, str]:
@@ -125,18 +175,20 @@ class IndexStore:
         return Analysis(**(meta["analysis"] | {"stopwords": tuple(meta["analysis"]["stopwords"])}))
 
     def meta(self, name: str) -> dict:
-        if not self.exists(name):
+        if not (versions := self._versions(name)):
             raise IndexNotFoundError(f"no index {name} in {self.storage}")
-        stream = self._files().open(self._path(f"{name}/info.json"))
+        stream = self._files().open(self._path(f"{name}/info-{versions[-1]}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode()) | {"version": versions[-1]}
         finally:
             stream.close()
 
     def _write_meta(self, name: str, meta: dict) -> None:
-        """A reader sees the old file or the new one."""
-        stream = self._files().create(self._path(f"{name}/info.json.new"), True)
-        stream.write(bytearray(json.dumps(meta).encode()))
+        """The next version, complete when it gets its name."""
+        known = self._versions(name)
+        number = meta.get("version", known[-1] if known else 0) + 1
+        stream = self._files().create(self._path(f"{name}/info-{number}.json.new"), True)
+        stream.write(bytearray(json.dumps({k: v for k, v in meta.items() if k != "version"}).encode()))
         stream.close()
-        self._files().delete(self._path(f"{name}/info.json"), False)
-        self._files().rename(self._path(f"{name}/info.json.new"), self._path(f"{name}/info.json"))
+        if number in known or not self._files().rename(self._path(f"{name}/info-{number}.json.new"), self._path(f"{name}/info-{number}.json")):
+            raise RuntimeError(f"index {name} was changed by another writer at the same time")

@@ -39,8 +39,7 @@ def read_files(spark: SparkSession, location: str, extension: str | Iterable[str
         rows = rows.filter(F.expr("false") if not ends else _any([F.col("name").endswith(e) for e in ends]))
     if exclude := list(exclude):
         rows = rows.filter(~F.col("name").isin(exclude))
-    # only the paths are sorted in one place, not the contents
-    ids = rows.select("path").withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
+    ids = _numbered(rows.select("path"))
 
     @F.pandas_udf("string")
     def text(paths: pd.Series, contents: pd.Series) -> pd.Series:
@@ -52,6 +51,18 @@ def read_files(spark: SparkSession, location: str, extension: str | Iterable[str
     return table
 
 
+def _numbered(paths: DataFrame) -> DataFrame:
+    """``path, id`` with ids from 1 in order of path: paths are sorted in ranges, and each range counts on from those before it."""
+    part = F.spark_partition_id()
+    ranged = paths.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", part).persist()
+    before, sizes = 0, {}
+    for r in ranged.groupBy("part").count().orderBy("part").collect():
+        sizes[r["part"]], before = before, before + r["count"]
+    begin = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]) if sizes else F.create_map(F.lit(0), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    return ranged.select("path", (F.element_at(begin, F.col("part")) + nth).cast("long").alias("id"))
+
+
 def filemap(files: DataFrame) -> DataFrame:
     """``doc_id, path``."""
     return files.select(F.col("id").alias("doc_id"), "path")

@@ -151,6 +151,45 @@ def test_store(spark, articles, tmp_path):
     assert not store.exists("a")
 
 
+@pytest.mark.parametrize("broken", ["_write_meta", "_write_postings", "_sweep"])
+@pytest.mark.parametrize("change", ["insert", "update", "delete", "compact", "create"])
+def test_a_broken_change_is_seen_whole_or_not_at_all(spark, articles, tmp_path, monkeypatch, change, broken):
+    store = IndexStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([(3, "Again", "daughter"), (9, "New", "daughter")], "id long, title string, article string")
+    do = {"insert": lambda: store.insert("a", rows), "update": lambda: store.update("a", rows), "delete": lambda: store.delete("a", [3, 4]), "compact": lambda: store.compact("a"), "create": lambda: store.create("a", rows)}[change]
+    store.create("a", articles)
+    state = lambda: (store.open("a").total_documents, sorted(map(tuple, store.open("a").postings.collect())))
+    before = state()
+
+    def fail(*_):
+        raise OSError("the driver died")
+
+    with monkeypatch.context() as m:
+        m.setattr(IndexStore, broken, fail)
+        try:
+            do()
+            died = False
+        except OSError:
+            died = True
+    after = state()
+    if died and broken != "_sweep":
+        assert after == before
+    do()
+    if died and broken == "_sweep":
+        assert state() == after
+    store.compact("a")
+    assert len(list((tmp_path / "a" / "postings").glob("load_id=*"))) == 1 and len(list((tmp_path / "a").glob("info-*.json"))) == 1
+
+
+def test_two_writers(spark, articles, tmp_path):
+    store = IndexStore(spark, str(tmp_path))
+    store.create("a", articles)
+    old = store.meta("a")
+    store.set_info("a", "x", "1")
+    with pytest.raises(RuntimeError):
+        store._write_meta("a", old)
+
+
 def test_engine(spark, articles, tmp_path):
     articles.createOrReplaceTempView("articles")
     engine = Engine(spark, {"storage": str(tmp_path)})
@@ -253,3 +292,47 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame([(2, "beta")], "id long, content string").write.mode("append").parquet(str(source))
     index_stream(stream, store, "s", str(tmp_path / "c"), once=True).awaitTermination()
     assert ids(search.search(store.open("s"), "beta").doc_scores) == [1, 2] and store.open("s").total_documents == 2
+
+
+def test_stream_batch_after_a_crash(spark, tmp_path, monkeypatch):
+    """The load and its number are one change: a batch that runs again isn't loaded twice."""
+    from lexigrain.streaming.ingest import index_stream
+
+    store = IndexStore(spark, str(tmp_path / "store"))
+    store.create("s", analysis=Analysis())
+    source = tmp_path / "in"
+    spark.createDataFrame([(1, "alpha beta")], "id long, content string").write.parquet(str(source))
+    stream = spark.readStream.schema("id long, content string").parquet(str(source))
+    index_stream(stream, store, "s", str(tmp_path / "c"), once=True).awaitTermination()
+    (tmp_path / "c" / "commits" / "0").unlink()
+    (tmp_path / "c" / "commits" / ".0.crc").unlink(missing_ok=True)
+    index_stream(stream, store, "s", str(tmp_path / "c"), once=True).awaitTermination()
+    assert store.open("s").total_documents == 1 and store.open("s").postings.count() == 2
+
+
+def test_windowed_terms(spark, tmp_path):
+    from lexigrain.streaming.ingest import windowed_terms
+
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:10", "alpha beta"), (2, "2024-01-01 00:00:50", "beta"), (3, "2024-01-01 00:01:10", "beta"), (4, "2024-01-01 01:00:00", "late")], "id long, at string, content string")
+    rows.selectExpr("id", "cast(at as timestamp) at", "content").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, at timestamp, content string").parquet(str(tmp_path / "in"))
+    query = windowed_terms(stream, "at", "id", "1 minute", "1 minute").writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(str(r["start"])[11:16], r["term"]): r["num_hits"] for r in spark.table("windowed").collect()}
+    assert got == {("00:00", "alpha"): 1, ("00:00", "beta"): 2, ("00:01", "beta"): 1, ("01:00", "late"): 1}
+
+
+def test_stemmed_classes(spark):
+    """Stems of the vocabulary give what stems of every word would."""
+    learned = spark.createDataFrame([(1, "running runs", "a"), (2, "runs jumping", "b")], "n long, text string, label string")
+    words = {(r["label"], r["term"]): r["n"] for r in classifier.train(learned, order="n", stemmer_name="porter").class_words.collect()}
+    assert words == {("a", "run"): 2, ("b", "run"): 1, ("b", "jump"): 1}
+
+
+def test_one_lookup_for_all_words(spark):
+    made = build_index(spark.createDataFrame([(1, "word words worth world work"), (2, "word work")], "id long, content string"))
+    options = search.SearchOptions(fuzziness=True, as_you_type=True, no_limit=True)
+    found = search.expansions(made.wordlist, ["work", "nothing", "work", "wor"], options)
+    assert [e.term for e in found[0]] == ["work", "word", "words", "world", "worth"] and found[0] == found[2] and found[1] == []
+    assert [e.term for e in found[3]][:2] == ["word", "work"] and [e.place for e in found[3]] == list(range(5))
+    assert search.expansions(made.wordlist, []) == []
