@@ -105,6 +105,30 @@ def test_groupers(tokens, k):
         assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=90), st.integers(1, 12), st.integers(1, 4), st.sampled_from([1, 4, 1 << 16]))
+def test_suffix_order(tokens, k, q, batch):
+    pointer = suffix_dedup.bucket_pointers(np.array(tokens, np.int64), k, q, batch)
+    order = sorted(range(len(tokens)), key=lambda i: tokens[i:])
+    assert sorted(set(pointer.tolist())) == sorted(int(x) for x in set(pointer))
+    by_place = sorted(range(len(tokens)), key=lambda i: pointer[i])
+    assert [tokens[i : i + k] for i in by_place] == [tokens[i : i + k] for i in order]
+    for end in set(pointer.tolist()):
+        bucket = [i for i in range(len(tokens)) if pointer[i] == end]
+        assert len({tuple(tokens[i : i + k]) for i in bucket}) == 1
+        assert sum(p <= end for p in pointer) == end + 1
+
+
+def test_deep_repeats():
+    r = np.random.default_rng(1)
+    part = r.integers(0, 5, 400)
+    tokens = np.concatenate([part, r.integers(0, 5, 50), part[100:], np.zeros(200, np.int64), part])
+    starts = np.arange(len(tokens) - 49)
+    want = np.unique(np.stack([tokens[s : s + 50] for s in starts]), axis=0, return_inverse=True)[1].reshape(-1)
+    got = suffix_dedup.by_suffix_array(tokens, starts, 50)
+    assert len(set(zip(want.tolist(), got.tolist()))) == len(set(want.tolist())) == len(set(got.tolist()))
+
+
 def test_colliding_hashes(monkeypatch):
     monkeypatch.setattr(substring_dedup, "window_hashes", lambda a, k: np.zeros(len(a) - k + 1, np.uint64))
     tokens = np.array([1, 2, 1, 2, 3, 1, 2], np.int64)
