@@ -3,11 +3,15 @@
 Pages made from one template lie next to each other by URL. Each page is paired
 with its nearest page by URL path within the host, their text lines are aligned
 by a longest common subsequence, and the shared lines, the template, go.
+
+Pages are spread over ranges of host, path and id, so a host or a path of any
+size is spread too. Within a range mates are neighbours; only the first and the
+last path of a range may have a mate in another one, and they are joined with
+the ends of the ranges beside them. The driver sees no page.
 """
 
 from __future__ import annotations
 
-import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -16,7 +20,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.llm.common import buckets_for, rows_of
@@ -29,7 +33,7 @@ _TAG = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)")
 #: Cells of the alignment that are kept as bits at once; a larger one is halved.
 CELLS = 1 << 28
 #: Input bytes of a range of pages that one task handles.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def text_lines(page: str) -> list[str]:
@@ -130,72 +134,134 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
-def paired(keys: list[tuple[str, str]]) -> list[int | None]:
-    """For each place of a list sorted by host and path: the place of its mate.
+def nearer(path: str, before: str | None, after: str | None) -> bool | None:
+    """Whether the mate is the page before; None, where there is none on either side.
 
-    Before lies the last page of the path before, after the first page of the
-    path after, both of the same host; the one with more leading path segments
-    in common is the mate, and the one before if both have as many.
+    It is the one with more leading path segments in common, and the one before
+    if both have as many.
     """
-    out: list[int | None] = []
-    starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-    for i, j in zip(starts, [*starts[1:], len(keys)]):
-        host, path = keys[i]
-        before = i - 1 if i and keys[i - 1][0] == host else None
-        after = j if j < len(keys) and keys[j][0] == host else None
-        nearer = after if before is None or (after is not None and nearness(path, keys[after][1]) > nearness(path, keys[before][1])) else before
-        out += [nearer] * (j - i)
-    return out
+    if before is None and after is None:
+        return None
+    return after is None or (before is not None and nearness(path, after) <= nearness(path, before))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [url_key(u or "") for u in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())], ["page_id", "host", "path"])
-
+def paths_of(keys: list[tuple[str, str]]) -> Iterator[tuple[int, int, int | None, int | None]]:
+    """Of a list sorted by host and path: begin and end of each path, and the places of the last page of the path before and of the first of the path after, on the same host."""
+    starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+    for i, j in zip(starts, [*starts[1:], len(keys)]):
+        host = keys[i][0]
+        yield i, j, i - 1 if i and keys[i - 1][0] == host else None, j if j < len(keys) and keys[j][0] == host else None
 
-def _bounds(keyed: DataFrame, blocks: int) -> list[tuple[str, str]]:
-    """Keys that part the pages into about ``blocks`` ranges. They come from a sample and decide how even the ranges are, nothing else."""
-    share = min(1.0, 200 * blocks / max(1, keyed.count()))
-    keys = sorted((r.host, r.path) for r in keyed.sample(share, seed=7).select("host", "path").collect())
-    return sorted({keys[i * len(keys) // blocks] for i in range(1, blocks)}) if keys else []
 
+_PAGE = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary())])
+_OUT = pa.schema([("page_id", pa.int64()), ("mate_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
+_RESULT = "page_id long, mate_id long, text string, n_lines long, n_shared long"
+_SIDES = [(f"{side}_{name}", kind) for side in ("before", "after") for name, kind in (("path", pa.string()), ("id", pa.int64()), ("lines", pa.binary()))]
+#: A page that waits for what lies beside its range, with the neighbours known so far.
+_WAITING = pa.schema([*_PAGE, *_SIDES])
+_WAITING_DDL = "page_id long, host string, path string, lines binary, before_path string, before_id long, before_lines binary, after_path string, after_id long, after_lines binary"
 
-def _edges(keyed: DataFrame, bounds: list[tuple[str, str]]) -> dict[tuple[str, str, int], list[int]]:
-    """First and last page of each range -> the ranges beside it that need that page too."""
 
-    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = [bisect.bisect_right(bounds, k) for k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *batch.columns], ["block", "page_id", "host", "path"])
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for piece in rows_of(batch):
+            keys = [url_key(u or "") for u in piece.column(1).to_pylist()]
+            lines = [press.compress("\n".join(text_lines(x or "")).encode()) for x in piece.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(lines, pa.binary())], schema=_PAGE)
+
+
+def _range(batches: Iterator[pa.RecordBatch]) -> dict[str, list]:
+    """All pages of a range, sorted."""
+    table = pa.Table.from_batches(batches, _PAGE)
+    return table.sort_by([("host", "ascending"), ("path", "ascending"), ("page_id", "ascending"), ("lines", "ascending")]).to_pydict()
+
+
+class _Differ:
+    """Collects pages less the lines of their mates."""
+
+    def __init__(self) -> None:
+        self.press, self.rows = zstandard.ZstdDecompressor(), {name: [] for name in _OUT.names}
+
+    def lines(self, packed: bytes) -> list[str]:
+        return [x for x in self.press.decompress(packed).decode().split("\n") if x]
+
+    def add(self, page: int, packed: bytes, mate: int | None, mate_lines: bytes | None) -> None:
+        own = self.lines(packed)
+        kept = own if mate_lines is None else unshared_lines(own, self.lines(mate_lines))
+        for column, value in zip(self.rows.values(), (page, mate, "\n".join(kept), len(own), len(own) - len(kept))):
+            column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict(self.rows, schema=_OUT)
+        self.rows = {name: [] for name in _OUT.names}
+        return out
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range, pages whose path is neither its first nor its last."""
+    t, differ = _range(batches), _Differ()
+    for i, j, before, after in paths_of(list(zip(t["host"], t["path"]))):
+        if i and j < len(t["path"]):
+            first = nearer(t["path"][i], *(None if x is None else t["path"][x] for x in (before, after)))
+            mate = None if first is None else before if first else after
+            for p in range(i, j):
+                differ.add(t["page_id"][p], t["lines"][p], *(None, None) if mate is None else (t["page_id"][mate], t["lines"][mate]))
+        if len(differ.rows["text"]) > 1000:
+            yield differ.batch()
+    yield differ.batch()
+
+
+def _waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range, pages of its first and of its last path."""
+    t = _range(batches)
+    out: dict[str, list] = {name: [] for name in _WAITING.names}
+    for i, j, before, after in paths_of(list(zip(t["host"], t["path"]))):
+        if not i or j == len(t["path"]):
+            sides = [None if x is None else t[c][x] for x in (before, after) for c in ("path", "page_id", "lines")]
+            for p in range(i, j):
+                for column, value in zip(out.values(), (*(t[c][p] for c in _PAGE.names), *sides)):
+                    column.append(value)
+    yield pa.RecordBatch.from_pydict(out, schema=_WAITING)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First and last page of a range."""
+    t = _range(batches)
+    at = [0, len(t["path"]) - 1] if t["path"] else []
+    arrays = [pa.array([t[c][i] for i in at], _PAGE.field(c).type) for c in _PAGE.names]
+    yield pa.RecordBatch.from_arrays([*arrays, pa.array([False, True][: len(at)], pa.bool_())], [*_PAGE.names, "last"])
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    differ = _Differ()
+    for batch in batches:
+        for piece in rows_of(batch):
+            for r in piece.to_pylist():
+                first = nearer(r["path"], r["before_path"], r["after_path"])
+                side = "before" if first else "after"
+                differ.add(r["page_id"], r["lines"], *(None, None) if first is None else (r[f"{side}_id"], r[f"{side}_lines"]))
+            yield differ.batch()
 
-    key = F.struct("host", "path", "page_id")
-    rows = keyed.mapInArrow(ranged, "block int, page_id long, host string, path string").groupBy("block").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
-    rows.sort(key=lambda r: r.block)
-    out: dict[tuple[str, str, int], list[int]] = {}
-    for a, b in zip(rows, rows[1:]):
-        if a.high.host == b.low.host:
-            out.setdefault(tuple(a.high), []).append(b.block)
-            out.setdefault(tuple(b.low), []).append(a.block)
-    return out
 
+def _beside(waiting: DataFrame, ends: DataFrame) -> DataFrame:
+    """``waiting`` with the neighbours that lie in other ranges.
 
-def _differ(table: pa.Table) -> pa.Table:
-    """Of one range: its own pages less the lines of their mates. Guests come from the ranges beside it."""
-    press = zstandard.ZstdDecompressor()
-    table = table.sort_by([("host", "ascending"), ("path", "ascending"), ("page_id", "ascending"), ("lines", "ascending")])
-    ids, guest = table.column("page_id").to_pylist(), table.column("guest").to_pylist()
-    packed = table.column("lines").to_pylist()
-    lines = lambda i: [x for x in press.decompress(packed[i]).decode().split("\n") if x]
-    out: dict[str, list] = {k: [] for k in ("page_id", "mate_id", "text", "n_lines", "n_shared")}
-    mates = paired(list(zip(table.column("host").to_pylist(), table.column("path").to_pylist())))
-    for i, mate in enumerate(mates):
-        if not guest[i]:
-            own = lines(i)
-            kept = own if mate is None else unshared_lines(own, lines(mate))
-            for k, v in zip(out, (ids[i], None if mate is None else ids[mate], "\n".join(kept), len(own), len(own) - len(kept))):
-                out[k].append(v)
-    return pa.table(out, schema=pa.schema([("page_id", pa.int64()), ("mate_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())]))
+    A path that several ranges share has its neighbours where it begins and
+    where it ends, or they are the ends of ranges on the same host: the last
+    before and the first after it. A host has two ends for each range it
+    touches, however many pages it has.
+    """
+    known = lambda side: F.max(F.when(F.col(f"{side}_path").isNotNull(), F.struct(F.col(f"{side}_path").alias("path"), F.col(f"{side}_id").alias("id"), F.col(f"{side}_lines").alias("lines"))))
+    asked = waiting.groupBy("host", "path").agg(known("before").alias("before"), known("after").alias("after"))
+    end = lambda last: F.when(F.col("last") == F.lit(last), F.struct("path", F.col("page_id").alias("id"), "lines"))
+    rows = ends.select("host", "path", "page_id", F.lit(False).alias("asks"), end(True).alias("low"), end(False).alias("high"))
+    rows = rows.unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    low = Window.partitionBy("host").orderBy("path", F.desc("asks"), "page_id").rowsBetween(Window.unboundedPreceding, -1)
+    high = Window.partitionBy("host").orderBy(F.desc("path"), F.desc("asks"), F.desc("page_id")).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.select("host", "path", "asks", F.coalesce("before", F.last("low", True).over(low)).alias("before"), F.coalesce("after", F.last("high", True).over(high)).alias("after")).filter("asks")
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("before", "after") for c in ("path", "id", "lines")]
+    return waiting.select("page_id", "host", "path", "lines").join(found, ["host", "path"]).select("page_id", "path", "lines", *sides)
 
 
 def extract_text(pages: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -203,7 +269,8 @@ def extract_text(pages: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     ``text`` holds the page's lines that its mate lacks, in order, one line
     each; ``n_lines`` counts the page's text lines, ``n_shared`` those deleted.
-    The mate is the nearest page by URL path within the host (see ``paired``);
+    The mate is the nearest page by URL path within the host, the last page of the
+    path before or the first of the path after (see ``nearer``);
     URLs that differ in scheme, query, fragment or closing slash only have one
     path, and pages of one path aren't mates. A page whose lines are all in its
     mate is a copy of it, which tells nothing of a template: it keeps all lines,
@@ -214,32 +281,8 @@ def extract_text(pages: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     without a mate keeps all its lines and has a null ``mate_id``; repeated rows
     are pages of one path; other columns aren't read; an empty table gives an
     empty result.
-
-    Pages are parted into ranges of host and path, so a host of any size is
-    spread over tasks; only the first and last page of a range, two rows for
-    each of ``block_bytes`` of input, go through the driver, and their lines
-    travel to both ranges.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).filter("page_id is not null")
-    keyed = slim.select("page_id", "url").mapInArrow(_keyed, "page_id long, host string, path string")
-    bounds = _bounds(keyed, buckets_for(pages, block_bytes))
-    edges = _edges(keyed, bounds)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        names = ("block", "guest", "page_id", "host", "path", "lines")
-        schema = pa.schema([("block", pa.int32()), ("guest", pa.bool_()), ("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary())])
-        for batch in batches:
-            for piece in rows_of(batch):
-                out: dict[str, list] = {k: [] for k in names}
-                for page, url, text in zip(*(piece.column(c).to_pylist() for c in range(3))):
-                    host, path = url_key(url or "")
-                    lines = press.compress("\n".join(text_lines(text or "")).encode())
-                    block = bisect.bisect_right(bounds, (host, path))
-                    for b in (block, *edges.get((host, path, page), ())):
-                        for k, v in zip(names, (b, b != block, page, host, path, lines)):
-                            out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    sent = slim.mapInArrow(send, "block int, guest boolean, page_id long, host string, path string, lines binary")
-    return sent.groupBy("block").applyInArrow(_differ, "page_id long, mate_id long, text string, n_lines long, n_shared long")
+    ranges = slim.mapInArrow(_parsed, "page_id long, host string, path string, lines binary").repartitionByRange(buckets_for(pages, block_bytes), "host", "path", "page_id")
+    waiting, ends = ranges.mapInArrow(_waiting, _WAITING_DDL), ranges.mapInArrow(_ends, "page_id long, host string, path string, lines binary, last boolean")
+    return ranges.mapInArrow(_inner, _RESULT).union(_beside(waiting, ends).mapInArrow(_resolved, _RESULT))

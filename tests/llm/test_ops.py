@@ -436,9 +436,33 @@ def test_pages(spark, block_bytes):
     assert page_diff.extract_text(pages.limit(0)).count() == 0
 
 
+def brute_extract(rows):
+    """Rows (page_id, url, html) -> (page_id, mate_id, text, n_lines, n_shared), every pair of neighbours looked up in one sorted list."""
+    pages = sorted((page_diff.url_key(u or ""), i, page_diff.text_lines(h or "")) for i, u, h in rows if i is not None)
+    out = []
+    for (host, path), i, own in pages:
+        before = [p for p in pages if p[0][0] == host and p[0][1] < path][-1:]
+        after = [p for p in pages if p[0][0] == host and p[0][1] > path][:1]
+        mate = max([*before, *after], key=lambda p: page_diff.nearness(path, p[0][1]), default=None)
+        kept = own if mate is None else page_diff.unshared_lines(own, mate[2])
+        out.append((i, mate and mate[1], "\n".join(kept), len(own), len(own) - len(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 2000, 1])
+def test_pages_against_brute_force(spark, block_bytes):
+    r = random.Random(5)
+    paths = ["", "a", "a/b", "a/c/d", "a/c/e", "b", "b/1", "b/2?x=1", "hot"]
+    rows = [(i, f"http://{r.choice(['h', 'k', 'l'])}/{r.choice(paths)}", page(r.choice(["one", "two<br>three", "four"]))) for i in range(60)]
+    rows += [(100 + i, f"http://hot/same?id={i}", page(f"item {i}")) for i in range(80)] + [(300, "http://hot/a", page("start")), (301, "http://hot/z", page("end")), (302, None, None), (303, "http://empty/x", ""), rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("low", F.lit(1)).withColumn("host", F.lit(2))
+    assert rows_of(page_diff.extract_text(pages, block_bytes)) == brute_extract(rows)
+
+
 def test_ranges_change_nothing(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    assert rows_of(page_diff.extract_text(pages)) == rows_of(page_diff.extract_text(pages, 2000))
+    want = brute_extract([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
+    assert rows_of(page_diff.extract_text(pages)) == rows_of(page_diff.extract_text(pages, 2000)) == want
 
 
 # --- byte pairs
