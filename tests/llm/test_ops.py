@@ -66,6 +66,18 @@ def test_exact(spark, odd, table_bytes):
     assert [tuple(r) for r in sorted(got.collect())] == brute.copies(odd)
 
 
+def test_one_content_in_most_rows(spark):
+    """A content that overflows the table by its rows alone is spread and joined again."""
+    rows = [(i % 700, "the same text") for i in range(1000)] + [(i, f"text {i % 40}") for i in range(1000, 1100)] + [(5, "text 3"), (3000, "alone"), (None, "the same text")]
+    docs = table(spark, rows)
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(docs, 2000).collect())) == brute.copies(rows)
+    kept = exact_dedup.drop_exact_duplicates(docs, 2000)
+    best = {}
+    for d, t in rows:
+        best[t] = min(best.get(t, (True, 0)), (d is None, d or 0))
+    assert kept.columns == docs.columns and rows_of(kept.select("doc_id", "text")) == sorted(((d, t) for t, (_, d) in best.items()), key=repr)
+
+
 def test_exact_survivors(spark, odd):
     docs = table(spark, odd)
     got = exact_dedup.drop_exact_duplicates(docs, 400)
@@ -94,6 +106,20 @@ def test_passages(spark, odd, operator, k, m):
     assert sorted(tuple(r) for r in got.collect()) == brute.passages(odd, k)
 
 
+@pytest.mark.parametrize("flush", [1, 3000, 40 << 20])
+def test_one_passage_in_every_document(spark, monkeypatch, flush):
+    from lexigrain.llm import superkmers
+
+    monkeypatch.setattr(superkmers, "FLUSH_BYTES", flush)
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice("abcdefghij") * 2 + r.choice("klmno") for _ in range(n))
+    shared = text(60)
+    rows = [(i, f"{text(i % 7)} {shared} {text(9)} {shared if i % 10 == 0 else ''}") for i in range(150)]
+    rows += rows[:40] + rows[20:30]
+    for operator in (substring_dedup.repeated_passages, suffix_dedup.suffix_repeats):
+        assert sorted(tuple(x) for x in operator(table(spark, rows).repartition(3)).collect()) == brute.passages(rows, 50)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=80), st.integers(1, 9))
 def test_groupers(tokens, k):
