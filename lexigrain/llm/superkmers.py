@@ -5,9 +5,12 @@ hash among its ``m``-word grams. Neighbouring windows mostly share one, so a
 run of them travels as one packed string: about three bytes of text per byte of
 input, where sending windows one by one would cost ``k``. Strings bound for one
 bucket are packed into one compressed blob, and equal strings are kept once
-with a list of their places, so a passage that many documents share costs its
-places and not its text. Equal windows always meet in one bucket, which makes
-the counts there exact.
+with a list of their places. Of a string that comes more than once among those
+that a task sends together, only the first place goes to the string's bucket: the
+others are later copies whatever lies there, and are spread over all buckets. So
+a passage in a third of all documents costs its bucket one place for each time a
+task sends. Equal windows always meet in one bucket, which makes the counts there
+exact.
 """
 
 from __future__ import annotations
@@ -40,15 +43,26 @@ def runs_of_windows(words: list[str], memo: WordHash, k: int, m: int) -> tuple[n
 def _packer(k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, press, held = WordHash(), zstandard.ZstdCompressor(level=3), 0
-        parts: dict[int, tuple[list, list, list, list]] = defaultdict(lambda: ([], [], [], []))
+        # by bucket and string: windows, and places as document and position
+        parts: dict[int, dict[bytes, tuple[int, list[tuple[int, int]]]]] = defaultdict(dict)
 
         def flush() -> pa.RecordBatch:
-            ids, blobs = list(parts), []
+            later: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+            firsts: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+            for b, strings in parts.items():
+                for n, places in strings.values():
+                    first, *rest = sorted(set(places)) if len(places) > 1 else places
+                    firsts[b].append((*first, n, 1 + bool(rest)))
+                    for doc, s in rest:
+                        later[doc * 2654435761 % buckets].append((doc, s, n))
+            ids, blobs = sorted({*firsts, *later}), []
             for b in ids:
-                docs, pos, wins, texts = parts[b]
-                head = np.array([len(docs)], np.int64).tobytes()
-                sizes = np.fromiter(map(len, texts), np.int32, len(texts))
-                blobs.append(press.compress(b"".join([head, np.array(docs, np.int64).tobytes(), np.array(pos, np.int32).tobytes(), np.array(wins, np.int32).tobytes(), sizes.tobytes(), *texts])))
+                texts, own, more = list(parts.get(b, ())), firsts.get(b, ()), later.get(b, ())
+                arrays = [np.array([len(own), len(more)], np.int64)]
+                for rows, kinds in ((own, (np.int64, np.int32, np.int32, np.int8)), (more, (np.int64, np.int32, np.int32))):
+                    arrays += [np.fromiter((r[i] for r in rows), kind, len(rows)) for i, kind in enumerate(kinds)]
+                arrays.append(np.fromiter(map(len, texts), np.int32, len(texts)))
+                blobs.append(press.compress(b"".join([*[x.tobytes() for x in arrays], *texts])))
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
@@ -64,12 +78,13 @@ def _packer(k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
                     a = np.where(starts > 0, ends[starts - 1], 0).tolist()
                     z = (ends[starts + wins + k - 2] - 1).tolist()
                     for b, s, n, i, j in zip((low % np.uint64(buckets)).tolist(), starts.tolist(), wins.tolist(), a, z):
-                        part = parts[b]
-                        part[0].append(doc)
-                        part[1].append(s)
-                        part[2].append(n)
-                        part[3].append(joined[i:j].encode())
-                        held += j - i
+                        string = joined[i:j].encode()
+                        if (known := parts[b].get(string)) is None:
+                            parts[b][string] = (n, [(doc, s)])
+                            held += j - i
+                        else:
+                            known[1].append((doc, s))
+                            held += 16
                     if held > FLUSH_BYTES:
                         yield flush()
                         held = 0
@@ -85,26 +100,29 @@ class _Ids(dict):
         return i
 
 
-def _unpack(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct strings and their window counts; place by place the string's number, document and position."""
+def _unpack(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Distinct strings and their window counts; place by place the string's number, document, position and weight (2, where the string came again); document, position and windows of later copies."""
     press, seen, wins_of = zstandard.ZstdDecompressor(), {}, []
-    uids, docs, poss = [], [], []
+    places, copies = [], []
     for blob in blobs:
-        raw = press.decompress(blob)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        docs.append(np.frombuffer(raw, np.int64, n, 8))
-        poss.append(np.frombuffer(raw, np.int32, n, 8 + 8 * n))
-        wins = np.frombuffer(raw, np.int32, n, 8 + 12 * n).tolist()
-        at = 8 + 20 * n
+        raw, at = press.decompress(blob), 16
+        n, more = np.frombuffer(raw, np.int64, 2).tolist()
+        arrays = []
+        for kind, size in ((np.int64, n), (np.int32, n), (np.int32, n), (np.int8, n), (np.int64, more), (np.int32, more), (np.int32, more), (np.int32, n)):
+            arrays.append(np.frombuffer(raw, kind, size, at))
+            at += arrays[-1].nbytes
+        doc, pos, wins, weight, *copy, sizes = arrays
         uid = []
-        for w, size in zip(wins, np.frombuffer(raw, np.int32, n, 8 + 16 * n).tolist()):
+        for w, size in zip(wins.tolist(), sizes.tolist()):
             u = seen.setdefault(raw[at : at + size], len(seen))
             if u == len(wins_of):
                 wins_of.append(w)
             uid.append(u)
             at += size
-        uids.append(np.array(uid, np.int64))
-    return list(seen), np.array(wins_of, np.int64), np.concatenate(uids), np.concatenate(docs), np.concatenate(poss).astype(np.int64)
+        places.append((np.array(uid, np.int64), doc, pos, weight))
+        copies.append(copy)
+    join = lambda rows: tuple(np.concatenate(x).astype(np.int64) for x in zip(*rows))
+    return list(seen), np.array(wins_of, np.int64), join(places), join(copies)
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -114,13 +132,17 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 def repeated_in_bucket(blobs: list[bytes], k: int, group: Grouper) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of repeated windows: document, first window, number of windows, whether they are later copies."""
-    strings, wins, uid, doc, pos = _unpack(blobs)
-    order = np.lexsort((pos, doc, uid))
-    uid, doc, pos = uid[order], doc[order], pos[order]
+    strings, wins, (uid, doc, pos, weight), copies = _unpack(blobs)
+    passed = (*copies, np.ones(len(copies[0]), bool))
+    if not strings:
+        return passed
+    order = np.lexsort((-weight, pos, doc, uid))
+    uid, doc, pos, weight = (x[order] for x in (uid, doc, pos, weight))
     new = np.append(True, (uid[1:] != uid[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]))  # a repeated row counts once
-    uid, doc, pos = uid[new], doc[new], pos[new]
-    times = np.bincount(uid, minlength=len(strings))
-    begin = np.cumsum(times) - times
+    uid, doc, pos, weight = (x[new] for x in (uid, doc, pos, weight))
+    held = np.bincount(uid, minlength=len(strings))
+    begin = np.cumsum(held) - held
+    times = np.add.reduceat(weight, begin)
     low_doc, low_pos = doc[begin], pos[begin]
 
     ids = _Ids()
@@ -150,9 +172,10 @@ def repeated_in_bucket(blobs: list[bytes], k: int, group: Grouper) -> tuple[np.n
     at, n = runs(first)
     out = [(low_doc[u[at]], low_pos[u[at]] + off[at], n, ~first[at])]
     at, n = runs()
-    more = times[u[at]] - 1
+    more = held[u[at]] - 1
     r, place = np.repeat(np.arange(len(at)), more), np.repeat(begin[u[at]] + 1, more) + _ramp(more)
     out.append((doc[place], pos[place] + off[at][r], n[r], np.ones(len(r), bool)))
+    out.append(passed)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
