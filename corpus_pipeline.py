@@ -1,4 +1,13 @@
-"""A training corpus from raw documents: judged, freed of copies and shared passages, packed."""
+"""A training corpus from raw documents: judged, freed of copies and shared passages, packed.
+
+Odd rows: a null text goes in the first stage, and where it comes to later ones
+they leave its row as it is. Empty texts are judged as others are; of several one
+stays. Rows with a null doc_id are judged and freed of copies, then left as they
+are, and can't be packed. Of rows alike in doc_id and text one stays, and of
+copies and near copies the one with the smallest doc_id. Texts of any length are
+taken whole. Other columns, whatever their names, go along up to packing; empty
+tables give empty results.
+"""
 
 from __future__ import annotations
 
