@@ -149,7 +149,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that ``score_quality`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``score_quality`` keeps, with all their columns.
+
+    Rows with a null text go; repeated rows and rows with a null doc_id are
+    judged as others are; a text may have any length.
+    """
     model = train(docs, labels, max_train)
     names = docs.columns
     text = names.index("text")

@@ -193,7 +193,7 @@ def gains_of(model: Model) -> Gains:
 def toxic_documents(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> DataFrame:
     """``doc_id, n_windows, n_toxic, toxic`` for each toxic row of ``docs(doc_id, text)``; ``toxic`` is true in all.
 
-    Every window of every text is judged. Null texts and texts without a word
+    Every window of every text, of any length, is judged. Null texts and texts without a word
     aren't toxic; a null doc_id stays null; rows repeat as they come; other
     columns aren't read; with no labelled document of one class, or an empty
     table, the result is empty.

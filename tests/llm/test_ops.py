@@ -270,6 +270,26 @@ def test_discriminant():
     assert quality.fit(np.ones((4, 2)), np.array([0, 0, 1, 1])) is not None
 
 
+@pytest.mark.parametrize("pool, ridge", [(0.5, 0.1), (1.0, 0.0), (0.0, 0.7)])
+def test_regularised_discriminant(pool, ridge):
+    """Covariances shrunk towards the pooled one and then towards the identity, on scaled statistics, by inverses and determinants."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(0, 1, (200, 5)) @ r.normal(size=(5, 5)), r.normal(1, 2, (90, 5))])
+    y = np.repeat([0, 1], [200, 90])
+    model = quality.fit(x, y, pool, ridge, 0.1)
+    parts = [x[y == c] for c in (0, 1)]
+    within = sum(len(p) * np.cov(p.T, bias=True) for p in parts) / len(x)
+    scale = np.sqrt(np.diag(within)) + 1e-6
+    z, logs = x / scale, []
+    for p in parts:
+        cov = ((1 - pool) * np.cov(p.T, bias=True) + pool * within) / np.outer(scale, scale)
+        cov = (1 - ridge) * cov + ridge * (np.trace(cov) / 5 + 1e-3) * np.eye(5)
+        d = z - p.mean(axis=0) / scale
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.log(np.linalg.det(cov)) + np.log(len(p) / len(x)))
+    assert np.allclose(model.score(x), logs[1] - logs[0])
+    assert model.threshold == pytest.approx(min(0, np.quantile((logs[1] - logs[0])[y == 1], 0.1)))
+
+
 def test_quality_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
