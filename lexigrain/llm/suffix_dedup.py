@@ -28,22 +28,16 @@ from lexigrain.llm.superkmers import repeated_spans
 Q, BATCH = 4, 1 << 16
 
 
-def _initial(tokens: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first ``q`` words, and where in that order a bucket begins. A missing word comes first."""
-    n = len(tokens)
-    padded = np.concatenate((tokens + 1, np.zeros(q, np.int64)))
-    cols = [padded[j : j + n] for j in range(q)]
-    bits = int(padded.max()).bit_length()
-    if bits * q <= 63:
-        key = np.zeros(n, np.int64)
-        for c in cols:
-            key = key << bits | c
-        order = np.argsort(key, kind="stable")
-        return order, np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-    order = np.lexsort(cols[::-1])
-    new = np.ones(n, bool)
-    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in cols])
-    return order, np.flatnonzero(new)
+def _initial(tokens: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes in order of their first words, where in that order a bucket begins, and how many words: ``q``, or what fits one number. A missing word comes first."""
+    n, bits = len(tokens), int(tokens.max() + 1).bit_length()
+    q = max(1, min(q, 63 // bits))
+    padded, key = np.concatenate((tokens + 1, np.zeros(q, np.int64))), np.zeros(n, np.int64)
+    for j in range(q):
+        key = key << bits | padded[j : j + n]
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.append(True, key[1:] != key[:-1])), q
 
 
 def _batches(order: np.ndarray, at: np.ndarray, sizes: np.ndarray, batch: int) -> Iterator[np.ndarray]:
@@ -69,8 +63,7 @@ def bucket_pointers(tokens: np.ndarray, k: int, q: int = Q, batch: int = BATCH)
     n = len(tokens)
     if not n:
         return np.empty(0, np.int64)
-    q = min(q, k)
-    order, at = _initial(tokens, q)
+    order, at, q = _initial(tokens, min(q, k))
     sizes = np.diff(np.append(at, n))
     pointer = np.full(n + k, -1, np.int64)
     pointer[order] = np.repeat(at + sizes - 1, sizes)
@@ -80,7 +73,7 @@ def bucket_pointers(tokens: np.ndarray, k: int, q: int = Q, batch: int = BATCH)
         while len(suffixes := suffixes[depth[pointer[suffixes]] < k]):
             own = pointer[suffixes]
             later = pointer[suffixes + depth[own]]
-            inner = np.lexsort((later, own))
+            inner = np.argsort(own * (n + 1) + later)  # a pointer behind the text is -1
             suffixes, own, later = suffixes[inner], own[inner], later[inner]
             head = np.append(True, own[1:] != own[:-1])
             new = np.flatnonzero(head | np.append(True, later[1:] != later[:-1]))
@@ -96,7 +89,7 @@ def bucket_pointers(tokens: np.ndarray, k: int, q: int = Q, batch: int = BATCH)
 
 def by_suffix_array(tokens: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """Group numbers of windows: equal ones lie together in the suffix array, and neighbours are compared word by word."""
-    order = np.argsort(bucket_pointers(tokens, k)[starts], kind="stable")
+    order = np.argsort(bucket_pointers(tokens, k)[starts])
     at = starts[order]
     same = np.arange(1, len(at))
     for j in range(k):
