@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -80,6 +82,61 @@ def buckets_for(df: DataFrame, bytes_each: int) -> int:
     return max(shuffle_partitions(df.sparkSession), math.ceil(input_bytes(df) / bytes_each))
 
 
+#: Buckets that one pass sends to, so that what a task sends to each stays large; more are reached in several passes. Bytes that a task of a further pass gathers.
+FAN, SPLIT_BYTES = 2048, 64 << 20
+
+_SENT = "bucket int, data binary"
+
+
+def first_width(buckets: int) -> int:
+    """How many buckets, next to each other, the first pass sends to as one: a power of ``FAN``."""
+    width = 1
+    while math.ceil(buckets / width) > FAN:
+        width *= FAN
+    return width
+
+
+def packed_sections(parts: Iterable[tuple[int, bytes]], width: int, press: zstandard.ZstdCompressor) -> pa.RecordBatch:
+    """``bucket, data``: payloads by bucket, those of ``width`` buckets in one blob."""
+    groups: dict[int, list[bytes]] = defaultdict(list)
+    for number, payload in parts:
+        groups[number // width] += [np.array([number, len(payload)], np.int64).tobytes(), payload]
+    return pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int32()), pa.array([press.compress(b"".join(x)) for x in groups.values()], pa.binary())], ["bucket", "data"])
+
+
+def sections_of(blob: bytes, press: zstandard.ZstdDecompressor) -> Iterator[tuple[int, bytes]]:
+    """Bucket and payload of each section."""
+    raw, at = press.decompress(blob), 0
+    while at < len(raw):
+        number, size = np.frombuffer(raw, np.int64, 2, at).tolist()
+        yield number, raw[at + 16 : at + 16 + size]
+        at += 16 + size
+
+
+def delivered(sent: DataFrame, width: int) -> DataFrame:
+    """``bucket, data`` with single buckets, of blobs for ``width`` buckets each: a pass for each power of ``FAN``."""
+    while width > 1:
+        width //= FAN
+        sent = sent.repartition("bucket").mapInArrow(_splitter(width), _SENT)
+    return sent
+
+
+def _splitter(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, squeeze, parts, held = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), [], 0
+        for batch in batches:
+            for blob in batch.column("data"):
+                parts += sections_of(blob.as_py(), press)
+                held += len(blob.as_py())
+                if held > SPLIT_BYTES // 4:  # it counts compressed bytes
+                    yield packed_sections(parts, width, squeeze)
+                    parts, held = [], 0
+        if parts:
+            yield packed_sections(parts, width, squeeze)
+
+    return split
+
+
 def rows_of(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``max_bytes`` each, so Python objects stay few."""
     if batch.num_rows:

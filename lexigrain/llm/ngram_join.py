@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from lexigrain.llm.common import WordHash, buckets_for, checkpointed, fresh, mixed, released, rows_of, window_hashes, word_hashes
+from lexigrain.llm.common import WordHash, buckets_for, checkpointed, delivered, first_width, fresh, mixed, packed_sections, released, rows_of, sections_of, window_hashes, word_hashes
 
 N, THRESHOLD, BITS = 3, 0.4, 56
 #: Input bytes a fragment of the first pass should hold; grams a task gathers before it sends them; documents of a gram that one cell compares.
@@ -72,13 +72,16 @@ class _Writer:
         self.parts.append(np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T).tobytes())
         return self
 
+    def raw(self) -> bytes:
+        return b"".join(self.parts)
+
     def done(self, press: zstandard.ZstdCompressor) -> bytes:
-        return press.compress(b"".join(self.parts))
+        return press.compress(self.raw())
 
 
 class _Reader:
-    def __init__(self, blob: bytes, press: zstandard.ZstdDecompressor) -> None:
-        self.raw, self.at = press.decompress(blob), 0
+    def __init__(self, blob: bytes, press: zstandard.ZstdDecompressor | None = None) -> None:
+        self.raw, self.at = press.decompress(blob) if press else blob, 0
 
     def next(self, dtype: str) -> np.ndarray:
         size = np.dtype(dtype).itemsize
@@ -101,7 +104,7 @@ def cuts_for(fragments: int) -> int:
     return 1 + fragments.bit_length() // 2
 
 
-def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sender(n: int, fragments: int, send_width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, press = WordHash(), zstandard.ZstdCompressor(level=1)
         members: dict[bytes, set[int]] = {}
@@ -120,7 +123,7 @@ def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             order = np.argsort(grams)
             grams, owner = grams[order], owner[order]
             cuts = [*np.searchsorted(grams, edges).tolist(), len(grams)]
-            number, blobs = [], []
+            payloads = []
             for f in range(fragments):
                 a, b = cuts[f], cuts[f + 1]
                 if a < b:
@@ -130,11 +133,10 @@ def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     for x, kind in zip((ids, sizes, sign_a, sign_b, many), _SIGN):
                         w.add(x[lowest], kind)
                     w.add(np.concatenate([lists[i] for i in lowest.tolist()]) if len(lowest) else lowest, "<i8")
-                    number.append(f)
-                    blobs.append(w.done(press))
+                    payloads.append((f, w.raw()))
             members.clear()
             sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(blobs, pa.binary())], ["fragment", "data"])
+            return packed_sections(payloads, send_width, press)
 
         for batch in batches:
             for piece in rows_of(batch):
@@ -157,14 +159,13 @@ def _sender(n: int, fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return send
 
 
-def _sharer(buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _sharer(buckets: int, send_width: int) -> Callable[[pa.Table], pa.Table]:
     def share(table: pa.Table) -> pa.Table:
         """Of one fragment: each set's grams that other documents have too, by number in order of rarity, and the counts of documents."""
         press, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        fragment = table.column("fragment")[0].as_py()
         grams, docs, many, signs, members = [], [], [], [], []
-        for blob in table.column("data").to_pylist():
-            r = _Reader(blob, press)
+        for fragment, payload in (section for blob in table.column("data").to_pylist() for section in sections_of(blob, press)):
+            r = _Reader(payload)
             ids, weight = np.cumsum(r.next("<i8")), r.next("<u4")
             grams.append(np.cumsum(r.next("<u8"), dtype=np.uint64))
             own = r.next("<u4")
@@ -197,8 +198,8 @@ def _sharer(buckets: int) -> Callable[[pa.Table], pa.Table]:
         home, sign, sizes = home[order], [x[order] for x in sign], sizes[order]
         member = member[np.repeat(begin, sizes) + _ramp(sizes)]
         begin = np.append(0, np.cumsum(sizes))
-        out_bucket, blobs = np.union1d(bucket, home).tolist(), []
-        for n in out_bucket:
+        payloads = []
+        for n in np.union1d(bucket, home).tolist():
             a, b = np.searchsorted(bucket, [n, n + 1]).tolist()
             own = doc[a:b]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: b - a])
@@ -208,8 +209,8 @@ def _sharer(buckets: int) -> Callable[[pa.Table], pa.Table]:
             c, d = np.searchsorted(home, [n, n + 1]).tolist()
             for x, kind in zip(sign, _SIGN):
                 w.add(x[c:d], kind)
-            blobs.append(w.add(member[begin[c] : begin[d]], "<i8").done(squeeze))
-        return pa.table({"bucket": pa.array(out_bucket, pa.int32()), "data": pa.array(blobs, pa.binary())})
+            payloads.append((n, w.add(member[begin[c] : begin[d]], "<i8").raw()))
+        return pa.Table.from_batches([packed_sections(payloads, send_width, squeeze)])
 
     return share
 
@@ -235,8 +236,8 @@ def _assembler(t: float, fragments: int, homes: int, block: int) -> Callable[[pa
         press, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         gids, docs, rarities = [], [], []
         sign: dict[int, tuple[int, bytes, set[int]]] = {}
-        for blob in table.column("data").to_pylist():
-            r = _Reader(blob, press)
+        for _, payload in (section for blob in table.column("data").to_pylist() for section in sections_of(blob, press)):
+            r = _Reader(payload)
             fragment = int(r.next("<i4")[0])
             ids, count = np.cumsum(r.next("<i8")), r.next("<i4")
             steps = r.next("<u4").astype(np.int64)
@@ -420,9 +421,10 @@ def shared_sets(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     buckets = buckets_for(docs, FRAGMENT_BYTES)
-    sent = slim.mapInArrow(_sender(n, buckets), "fragment int, data binary")
-    back = sent.groupBy("fragment").applyInArrow(_sharer(buckets), "bucket int, data binary")
-    rows = checkpointed(back.groupBy("bucket").applyInArrow(_assembler(t, buckets, buckets, BLOCK), "doc_id long, size int, sign binary, docs array<long>, home int, spread int, parts array<binary>, prefix binary"))
+    width = first_width(buckets)
+    sent = slim.mapInArrow(_sender(n, buckets, width), "bucket int, data binary")
+    back = delivered(sent, width).groupBy("bucket").applyInArrow(_sharer(buckets, width), "bucket int, data binary")
+    rows = checkpointed(delivered(back, width).groupBy("bucket").applyInArrow(_assembler(t, buckets, buckets, BLOCK), "doc_id long, size int, sign binary, docs array<long>, home int, spread int, parts array<binary>, prefix binary"))
     # of a set that many tasks saw, each sends its part of the documents: no row holds them all
     members = rows.select("sign", F.explode("docs").alias("doc_id")).distinct()
     first = lambda c: F.min_by(c, "doc_id").alias(c)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import WordHash, buckets_for, mixed, rows_of, sliding_min, window_hashes, word_hashes
+from lexigrain.llm.common import WordHash, buckets_for, delivered, first_width, mixed, packed_sections, rows_of, sections_of, sliding_min, window_hashes, word_hashes
 
 #: Bytes of input a bucket should hold, and bytes of packed text a task gathers before it sends them.
 BUCKET_BYTES, FLUSH_BYTES = 1 << 20, 40 << 20
@@ -40,7 +40,7 @@ def runs_of_windows(words: list[str], memo: WordHash, k: int, m: int) -> tuple[n
     return starts, np.diff(np.append(starts, len(low))), low[starts]
 
 
-def _packer(k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(k: int, m: int, buckets: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, press, held = WordHash(), zstandard.ZstdCompressor(level=3), 0
         # by bucket and string: windows, and places as document and position
@@ -55,16 +55,16 @@ def _packer(k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
                     firsts[b].append((*first, n, 1 + bool(rest)))
                     for doc, s in rest:
                         later[doc * 2654435761 % buckets].append((doc, s, n))
-            ids, blobs = sorted({*firsts, *later}), []
-            for b in ids:
+            payloads = []
+            for b in sorted({*firsts, *later}):
                 texts, own, more = list(parts.get(b, ())), firsts.get(b, ()), later.get(b, ())
                 arrays = [np.array([len(own), len(more)], np.int64)]
                 for rows, kinds in ((own, (np.int64, np.int32, np.int32, np.int8)), (more, (np.int64, np.int32, np.int32))):
                     arrays += [np.fromiter((r[i] for r in rows), kind, len(rows)) for i, kind in enumerate(kinds)]
                 arrays.append(np.fromiter(map(len, texts), np.int32, len(texts)))
-                blobs.append(press.compress(b"".join([*[x.tobytes() for x in arrays], *texts])))
+                payloads.append((b, b"".join([*[x.tobytes() for x in arrays], *texts])))
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
+            return packed_sections(payloads, width, press)
 
         for batch in batches:
             for piece in rows_of(batch):
@@ -104,8 +104,8 @@ def _unpack(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, tuple[np.ndarr
     """Distinct strings and their window counts; place by place the string's number, document, position and weight (2, where the string came again); document, position and windows of later copies."""
     press, seen, wins_of = zstandard.ZstdDecompressor(), {}, []
     places, copies = [], []
-    for blob in blobs:
-        raw, at = press.decompress(blob), 16
+    for _, raw in (section for blob in blobs for section in sections_of(blob, press)):
+        at = 16
         n, more = np.frombuffer(raw, np.int64, 2).tolist()
         arrays = []
         for kind, size in ((np.int64, n), (np.int32, n), (np.int32, n), (np.int8, n), (np.int64, more), (np.int32, more), (np.int32, more), (np.int32, n)):
@@ -190,8 +190,10 @@ def _counter(k: int, group: Grouper) -> Callable[[pa.Table], pa.Table]:
 def repeated_spans(docs: DataFrame, group: Grouper, k: int, m: int) -> DataFrame:
     """``doc_id, start_word, end_word, removed``: see ``substring_dedup.repeated_passages``."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    blobs = slim.mapInArrow(_packer(k, m, buckets_for(docs, BUCKET_BYTES)), "bucket int, data binary")
-    runs = blobs.groupBy("bucket").applyInArrow(_counter(k, group), "doc_id long, s long, n long, later boolean")
+    buckets = buckets_for(docs, BUCKET_BYTES)
+    width = first_width(buckets)
+    blobs = slim.mapInArrow(_packer(k, m, buckets, width), "bucket int, data binary")
+    runs = delivered(blobs, width).groupBy("bucket").applyInArrow(_counter(k, group), "doc_id long, s long, n long, later boolean")
     w = Window.partitionBy("doc_id", "later").orderBy("s", "e")
     runs = runs.withColumn("e", F.col("s") + F.col("n") + (k - 1))
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))

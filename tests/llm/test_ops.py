@@ -226,6 +226,18 @@ def test_components(spark):
     assert ngram_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_many_buckets_are_reached_in_passes(spark, odd, monkeypatch, fan):
+    from lexigrain.llm import common, superkmers
+
+    monkeypatch.setattr(common, "FAN", fan)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 20_000)
+    monkeypatch.setattr(superkmers, "BUCKET_BYTES", 20_000)
+    assert [common.first_width(b) for b in (1, fan, fan + 1, fan**2 + 1)] == [1, 1, fan, fan**2]
+    assert rows_of(ngram_join.near_documents(table(spark, odd))) == near_rows(odd, 3, 0.4)
+    assert sorted(tuple(r) for r in substring_dedup.repeated_passages(table(spark, odd)).collect()) == brute.passages(odd, 50)
+
+
 # --- packing
 
 
