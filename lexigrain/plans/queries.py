@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.functions import highlight as H
 from lexigrain.functions import strings as S
-from lexigrain.functions.stemmers import STEMMERS, stemmed
+from lexigrain.functions.stemmers import STEMMERS, slavic, stemmed
 from lexigrain.functions.stopwords import stopwords
 from lexigrain.functions.tokenizers import TOKENIZERS, NGramTokenizer, decode_entities, padded_trigrams, tokenizer, without
 from lexigrain.operators import boolean, classifier, geo, index, keywords, search
@@ -109,7 +109,11 @@ def rake_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _articles(spark, sf_dir).select("doc_id", keywords.rake_tokens(F.col("text")).alias("tokens"))
 
 
-@_query()
+# the pages hold no other entities; an ampersand comes last, so what it makes isn't decoded again
+_UNESCAPED = "regexp_replace(replace(replace(replace(html, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+
+
+@_query(f"SELECT page_id, {_words(_UNESCAPED)} AS tokens FROM pages")
 def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", tokenizer("default").tokens(decode_entities(F.col("html"))).alias("tokens"))
 
@@ -121,6 +125,29 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", *[stemmed(F.col("term"), name).alias(name) for name in list(STEMMERS)[:12]])
 
 
+_STRIPPED = "coalesce(list_filter({endings}, lambda e: ends_with({word}, e) AND {keep})[1], '')"
+
+
+def _stripped(word: str, endings: Sequence[str], keep: str) -> str:
+    """A word less the first of the endings that fits."""
+    return f"left({word}, length({word}) - length({_STRIPPED.format(word=word, endings=_quoted(list(endings)), keep=keep)}))"
+
+
+_POLISH = _stripped("term", [*slavic._POLISH_ENDINGS, "ek"], "length(term) - length(e) > 2 AND regexp_matches(left(term, length(term) - length(e)), '[aąeęioóuy]')")
+_UKRAINIAN = _stripped("w", slavic._UKRAINIAN_ENDINGS, "length(w) - length(e) > f + 1")
+
+
+@_query(f"""WITH {_TOK}, t AS (SELECT DISTINCT term, length(regexp_extract(term, '^[^аеєиіїоуюя]*')) AS f FROM tok),
+u AS (SELECT *, CASE WHEN regexp_matches(term, '(ся|сь)$') AND length(term) - 2 >= f + 2 THEN left(term, length(term) - 2) ELSE term END AS w FROM t),
+v AS (SELECT *, {_UKRAINIAN} AS cut FROM u)
+SELECT term, term AS plain, CASE WHEN starts_with(term, 'naj') AND length(term) > 8 AND regexp_matches(term, 'sz[yae]$') THEN substr(term, 4, length(term) - 6) ELSE {_POLISH} END AS polish,
+CASE WHEN regexp_matches(cut, '[іо]ст$') AND length(cut) - 3 >= f + 2 THEN left(cut, length(cut) - 3) ELSE cut END AS ukrainian FROM v""")
+def stems_by_paradigm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stemmers that are lists of endings, over the whole vocabulary."""
+    terms = _articles(spark, sf_dir).select(F.explode(tokenizer("default").tokens(F.col("text"))).alias("term")).distinct()
+    return terms.select("term", stemmed(F.col("term"), "no").alias("plain"), *[stemmed(F.col("term"), name).alias(name) for name in ("polish", "ukrainian")])
+
+
 # index
 
 
@@ -474,7 +501,9 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _articles(spark, sf_dir).select("doc_id", H.highlight(F.col("text"), "thatin worthless", options=H.HighlightOptions(simple=True)).alias("marked"))
 
 
-@_query()
+# a word is within a tag if the next bracket closes one
+@_query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(html, '<a\s[^>]*>(\bthatin\b|\bworthless\b)</a>', '\1', 'gi'), '[^<>]*[<>]?'),
+lambda s: CASE WHEN ends_with(s, '>') THEN s ELSE regexp_replace(s, '\b(thatin|worthless)\b', '<b>\1</b>', 'gi') END), '') AS marked FROM pages""")
 def highlight_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", H.highlight(F.col("html"), "thatin worthless", "b", H.HighlightOptions(strip_links=True)).alias("marked"))
 
@@ -494,14 +523,25 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fuzzy_match(_index(spark, sf_dir).wordlist.select(F.col("term").alias("item")), "worthless")
 
 
-@_query()
+# bytes of a term one by one; those beyond ASCII match nothing in the other word, so any byte may stand for them
+_JARO = f"""RECURSIVE {_TOK}, t AS (SELECT DISTINCT term, regexp_replace(regexp_replace(regexp_replace(term, '[\\x{{10000}}-\\x{{10ffff}}]', '####', 'g'), '[\\x{{800}}-\\x{{ffff}}]', '###', 'g'), '[\\x{{80}}-\\x{{7ff}}]', '##', 'g') AS x FROM tok),
+s AS (SELECT term, x, 0 AS i, 'worthless' AS free, '' AS mine FROM t UNION ALL
+SELECT term, x, i + 1, CASE WHEN p > 0 THEN left(free, low + p - 1) || '.' || substr(free, low + p + 1) ELSE free END, CASE WHEN p > 0 THEN mine || c ELSE mine END
+FROM (SELECT *, instr(substr(free, low + 1, greatest(0, high - low)), c) AS p FROM (SELECT *, substr(x, i + 1, 1) AS c, floor(greatest(0, i - reach))::INT AS low, floor(least(i + reach + 1, 9))::INT AS high
+FROM (SELECT *, greatest(length(x), 9) / 2.0 - 1 AS reach FROM s WHERE i < length(x))))),
+m AS (SELECT term, x, mine, length(mine) AS n, array_to_string(list_transform(range(1, 10), lambda k: CASE WHEN substr(free, k, 1) = '.' THEN substr('worthless', k, 1) ELSE '' END), '') AS theirs FROM s WHERE i = length(x)),
+j AS (SELECT term, x, CASE WHEN n = 0 THEN 0.0 ELSE (n / length(x)::DOUBLE + n / 9.0::DOUBLE + (n - coalesce(list_sum(list_transform(range(1, n + 1), lambda k: CASE WHEN substr(mine, k, 1) <> substr(theirs, k, 1) THEN 1 ELSE 0 END)), 0) / 2.0::DOUBLE) / n) / 3 END AS jaro FROM m)"""
+
+
+@_query(f"WITH {_JARO} SELECT term, round(jaro, 9) AS similarity FROM j")
 def jaro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).wordlist.select("term", S.jaro_similarity(F.col("term"), F.lit("worthless")).alias("similarity"))
+    return _index(spark, sf_dir).wordlist.select("term", F.round(S.jaro_similarity(F.col("term"), F.lit("worthless")), 9).alias("similarity"))
 
 
-@_query()
+@_query(f"""WITH {_JARO} SELECT term, round(CASE WHEN jaro < 0.7 THEN jaro ELSE jaro + least(0.1, 1.0::DOUBLE / greatest(length(x), 9)) * (1 - jaro)
+* list_max(list_transform(range(0, 10), lambda k: CASE WHEN k <= length(x) AND left(x, k) = left('worthless', k) THEN k ELSE 0 END)) END, 9) AS similarity FROM j""")
 def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).wordlist.select("term", S.jaro_winkler_similarity(F.col("term"), F.lit("worthless")).alias("similarity"))
+    return _index(spark, sf_dir).wordlist.select("term", F.round(S.jaro_winkler_similarity(F.col("term"), F.lit("worthless")), 9).alias("similarity"))
 
 
 def queries() -> dict[str, Query]:
