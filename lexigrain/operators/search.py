@@ -159,17 +159,51 @@ def search_files(index: Index, phrase: str, limit: int = 100, options: SearchOpt
     return ranked.join(index.filemap.select("doc_id", "path"), "doc_id", "left")
 
 
-def search_many(index: Index, phrases: DataFrame, limit: int = 100, words: DataFrame | None = None) -> DataFrame:
-    """``query_id, doc_id, score, rank`` for each of ``phrases(query_id, phrase)``, in one plan: exact terms, all postings."""
+def _expanded(asked: DataFrame, words: DataFrame, options: SearchOptions) -> DataFrame:
+    """``key, last, term, place, df`` for ``asked(key, last)``: what ``expansions`` finds, for many keys in one plan.
+
+    Terms and keys meet by their first characters, so no key sees the whole dictionary.
+    """
+    first = 3 if options.as_you_type else 0
+    reach = max(first, options.prefix_length if options.fuzziness else 0)
+    exact = asked.join(words, asked["key"] == words["term"]).select("key", "last", "term", "num_hits", "num_docs")
+    if reach:
+        begins = words.withColumn("begin", F.explode(F.array_distinct(F.array(*[F.substring("term", 1, i) for i in range(1, reach + 1)]))))
+    if options.as_you_type:
+        typed = asked.filter("last").withColumn("begin", F.substring("key", 1, first)).join(begins, "begin").filter(F.col("term").startswith(F.col("key")))
+        shortest = Window.partitionBy("key", "last").orderBy(F.length("term"), F.desc("num_hits"), "term")
+        typed = typed.withColumn("nth", F.row_number().over(shortest)).filter("nth = 1").select(exact.columns)
+        exact = exact.filter(~F.col("last")).unionByName(typed)
+    found = exact.withColumn("place", F.lit(0))
+    if options.fuzziness:
+        near = asked.withColumn("begin", F.substring("key", 1, options.prefix_length)).join(begins, "begin")
+        frequent = Window.partitionBy("key", "last").orderBy(F.desc("num_hits"), "term")
+        near = near.withColumn("nth", F.row_number().over(frequent)).filter(F.col("nth") <= options.max_expansions).withColumn("distance", F.levenshtein("term", "key")).filter(F.col("distance") <= options.distance)
+        known = exact.select("key", "last", F.col("term").alias("known"))
+        near = near.join(known, ["key", "last"], "left").filter(F.col("known").isNull() | (F.lit(options.no_limit) & (F.col("known") != F.col("term"))))
+        nearest = Window.partitionBy("key", "last").orderBy("distance", F.desc("num_hits"), "term")
+        found = found.unionByName(near.withColumn("place", F.row_number().over(nearest)).select(*exact.columns, "place"))
+    best = Window.partitionBy("key", "last").orderBy("place")
+    return found.withColumn("df", F.first("num_docs").over(best)).select("key", "last", "term", "place", "df")
+
+
+def search_many(index: Index, phrases: DataFrame, limit: int = 100, words: DataFrame | None = None, options: SearchOptions = SearchOptions(no_limit=True)) -> DataFrame:
+    """``query_id, doc_id, score, rank`` for each of ``phrases(query_id, phrase)``, in one plan: what ``search`` finds for each with these options."""
     from lexigrain.functions.stemmers import stemmed
     from lexigrain.functions.tokenizers import tokenizer
 
     words = index.wordlist if words is None else words
-    asked = phrases.select("query_id", F.explode(tokenizer(index.analysis.tokenizer).tokens(F.col("phrase"))).alias("word"))
-    asked = asked.groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    asked = asked.withColumn("term", stemmed(F.col("word"), index.analysis.stemmer)).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
-    known = asked.join(words.select("term", "num_docs"), "term").withColumn("idf", F.log(F.lit(float(max(1, index.total_documents))) / F.col("num_docs")))
-    gain = F.col("times") * F.col("idf") * (2 * F.col("hit_count")) / (1 + F.col("hit_count"))
-    scored = known.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), DECIMALS).alias("score"))
+    tokens = phrases.select("query_id", tokenizer(index.analysis.tokenizer).tokens(F.col("phrase")).alias("tokens"))
+    asked = tokens.select("query_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "word")).withColumn("last", (F.col("at") == F.col("n") - 1) & F.lit(options.as_you_type))
+    asked = asked.groupBy("query_id", "word", "last").agg(F.count("*").alias("times"))
+    asked = asked.withColumn("key", F.lower(stemmed(F.col("word"), index.analysis.stemmer))).groupBy("query_id", "key", "last").agg(F.sum("times").alias("times"))
+    found = _expanded(asked.select("key", "last").distinct(), words, options)
+    matched = asked.join(found, ["key", "last"]).join(index.postings, "term")
+    if not options.no_limit:
+        best = Window.partitionBy("query_id", "key", "last").orderBy("place", F.desc("hit_count"), "doc_id")
+        matched = matched.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= options.max_docs)
+    idf = F.log(F.lit(float(max(1, index.total_documents))) / F.greatest(F.lit(1), "df"))
+    gain = F.col("times") * idf * (2 * F.col("hit_count")) / (1 + F.col("hit_count"))
+    scored = matched.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), DECIMALS).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= abs(limit))

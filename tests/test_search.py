@@ -336,3 +336,16 @@ def test_one_lookup_for_all_words(spark):
     assert [e.term for e in found[0]] == ["work", "word", "words", "world", "worth"] and found[0] == found[2] and found[1] == []
     assert [e.term for e in found[3]][:2] == ["word", "work"] and [e.place for e in found[3]] == list(range(5))
     assert search.expansions(made.wordlist, []) == []
+
+
+@pytest.mark.parametrize("options", [SearchOptions(), SearchOptions(no_limit=True), SearchOptions(max_docs=2), SearchOptions(fuzziness=True), SearchOptions(as_you_type=True), SearchOptions(fuzziness=True, as_you_type=True, no_limit=True), SearchOptions(fuzziness=True, prefix_length=1, max_expansions=3, distance=1)])
+def test_many_searches_are_as_single_ones(spark, options):
+    texts = ["word words worth world work", "word work work", "worth a word", "wo w worthless", "a daughter and a duke", "daughters of the duke word"]
+    made = build_index(spark.createDataFrame(list(enumerate(texts)), "id long, content string"))
+    phrases = ["word wor", "wrk word word", "w", "daughte duk", "nothing here", "", "wort work"]
+    got = {}
+    for r in search.search_many(made, spark.createDataFrame(list(enumerate(phrases)), "query_id int, phrase string"), 10, options=options).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], round(r["score"], 6)))
+    for i, phrase in enumerate(phrases):
+        want = [(r["rank"], r["doc_id"], round(r["score"], 6)) for r in search.search(made, phrase, 10, options).ranked.collect()]
+        assert sorted(got.get(i, [])) == sorted(want), phrase
