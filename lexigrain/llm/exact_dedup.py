@@ -78,8 +78,11 @@ def bucketed(df: DataFrame, text: str, table_bytes: int, bucket_bytes: int) -> t
     h, deep = F.xxhash64(t), F.xxhash64(t, F.lit("deeper"))
     df = df.withColumn(path, F.pmod(h, F.lit(buckets_for(df, bucket_bytes))).cast("string"))
     contents = df.select(F.col(path).alias("p"), h.alias("h"), deep.alias("h2"), F.octet_length(t).alias("n")).groupBy("p", "h", "h2").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    held = F.col("rows") * (F.col("n") + 16)
+    whole = contents.groupBy("p").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max(F.when(F.col("rows") > 1, held)).alias("most"))
+    found = whole.agg(F.max((F.col("n") > table_bytes) & (F.col("kinds") > 1)).alias("over"), F.max(F.col("most") > table_bytes).alias("hot")).first()
     stats = contents
-    for level in range(1, 64 // DIGIT):
+    for level in range(1, 64 // DIGIT) if found["over"] else ():
         over = stats.groupBy("p").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter((F.col("n") > table_bytes) & (F.col("kinds") > 1)).select("p")
         if over.isEmpty():
             break
@@ -89,10 +92,9 @@ def bucketed(df: DataFrame, text: str, table_bytes: int, bucket_bytes: int) -> t
         key = fresh([*df.columns, mark], "over_bucket")
         over = over.withColumnRenamed("p", key)
         df = df.join(over, df[path] == over[key], "left").withColumn(path, F.when(F.col(mark), F.concat_ws(".", F.col(path), _digit(deep, level))).otherwise(F.col(path))).drop(mark, key)
-    held = F.col("rows") * (F.col("n") + 16)
-    hot = contents.filter((held > table_bytes) & (F.col("rows") > 1)).select("h", "h2", F.least(F.col("rows"), F.ceil(held / table_bytes)).alias("salts"))
-    if hot.isEmpty():
+    if not found["hot"]:
         return df, path, None
+    hot = contents.filter((held > table_bytes) & (F.col("rows") > 1)).select("h", "h2", F.least(F.col("rows"), F.ceil(held / table_bytes)).alias("salts"))
     names = [fresh(df.columns, c) for c in ("content", "deeper", "salts")]
     hot = hot.toDF(*names)
     df = df.join(hot, (h == hot[names[0]]) & (deep == hot[names[1]]), "left")
