@@ -149,6 +149,11 @@ class Indexer:
         self.analysis = replace(self.analysis, stopwords=tuple(words))
         return self
 
+    def disable_output(self, wanted: bool = True) -> Indexer:
+        """No lines of progress in the log."""
+        self.engine.store.quiet = wanted
+        return self
+
     def decode_html_entities(self, wanted: bool = True) -> Indexer:
         self.analysis = replace(self.analysis, decode_entities=wanted)
         return self

@@ -49,7 +49,12 @@ class IndexStore:
     """
 
     def __init__(self, spark: SparkSession, storage: str) -> None:
-        self.spark, self.storage = spark, storage.rstrip("/")
+        self.spark, self.storage, self.quiet = spark, storage.rstrip("/"), False
+
+    def _told(self, name: str, step: str, meta: dict) -> None:
+        """A line of progress after each step, unless ``quiet``. Rows are counted step by step, since tasks handle them and not the driver."""
+        if not self.quiet:
+            _log.info("index %s: %s, %d documents in %d loads", name, step, meta["total_documents"], len(meta["loads"]))
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.storage}/{name}")
@@ -81,22 +86,26 @@ class IndexStore:
             meta = self._loaded(name, meta, source)
         self._write_meta(name, meta | {"next": meta["next"] + 1})
         self._sweep(name, meta)
+        self._told(name, "created", meta)
         return self.open(name)
 
     def insert(self, name: str, rows: DataFrame, info: dict[str, str] | None = None) -> None:
         """Add rows as one load; ids that are there already aren't replaced. ``info`` becomes known with the load."""
         meta = self._loaded(name, self.meta(name), rows)
         self._write_meta(name, meta | {"info": meta["info"] | (info or {})})
-        _log.info("index %s: load %d, %d documents now", name, meta["loads"][-1], meta["total_documents"])
+        self._told(name, "rows inserted", meta)
 
     def delete(self, name: str, ids: DataFrame | Sequence) -> None:
-        self._write_meta(name, self._freed(name, self.meta(name), ids))
+        meta = self._freed(name, self.meta(name), ids)
+        self._write_meta(name, meta)
+        self._told(name, "ids deleted", meta)
 
     def update(self, name: str, rows: DataFrame, info: dict[str, str] | None = None) -> None:
         """Rows replace those of the same id, or are added, in one change."""
         meta = self.meta(name)
         meta = self._loaded(name, self._freed(name, meta, rows.select(meta["primary_key"])), rows)
         self._write_meta(name, meta | {"info": meta["info"] | (info or {})})
+        self._told(name, "rows updated", meta)
 
     def compact(self, name: str) -> None:
         """Write what is left of all loads as one; the old ones go after."""
@@ -106,6 +115,7 @@ class IndexStore:
         meta |= {"next": load + 1, "loads": [load], "deleted": []}
         self._write_meta(name, meta)
         self._sweep(name, meta)
+        self._told(name, "compacted", meta)
 
     def _write_postings(self, name: str, load: int, rows: DataFrame) -> None:
         rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.storage}/{name}/postings/load_id={load}")

@@ -349,3 +349,15 @@ def test_many_searches_are_as_single_ones(spark, options):
     for i, phrase in enumerate(phrases):
         want = [(r["rank"], r["doc_id"], round(r["score"], 6)) for r in search.search(made, phrase, 10, options).ranked.collect()]
         assert sorted(got.get(i, [])) == sorted(want), phrase
+
+
+def test_progress(spark, articles, tmp_path, caplog):
+    caplog.set_level("INFO", logger="lexigrain.operators.store")
+    engine = Engine(spark, {"storage": str(tmp_path)})
+    engine.create_index("a").table(articles).run()
+    engine.store.delete("a", [1])
+    assert [r.getMessage() for r in caplog.records] == ["index a: created, 5 documents in 1 loads", "index a: ids deleted, 4 documents in 1 loads"]
+    caplog.clear()
+    engine.create_index("a").table(articles).disable_output().run()
+    engine.store.compact("a")
+    assert not caplog.records
