@@ -69,11 +69,16 @@ def _oracle(config: Mapping) -> dict[str, str]:
     return {"url": f"jdbc:oracle:thin:@{config.get('dbtns') or _host(config, 1521) + '/' + str(config['database'])}", "driver": "oracle.jdbc.OracleDriver"}
 
 
+def _derby(config: Mapping) -> dict[str, str]:
+    """The embedded database that comes with Spark."""
+    return {"url": f"jdbc:derby:{config['database']}", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
 def _session(statements: list[str]) -> dict[str, str]:
     return {"sessionInitStatement": "; ".join(statements)} if statements else {}
 
 
-_DRIVERS = {"mysql": _mysql, "mariadb": _mysql, "pgsql": _postgres, "sqlite": _sqlite, "sqlsrv": _sqlserver, "oracledb": _oracle}
+_DRIVERS = {"mysql": _mysql, "mariadb": _mysql, "pgsql": _postgres, "sqlite": _sqlite, "sqlsrv": _sqlserver, "oracledb": _oracle, "derby": _derby}
 
 
 def connection(config: Mapping) -> dict[str, str] | None:

@@ -361,3 +361,19 @@ def test_progress(spark, articles, tmp_path, caplog):
     engine.create_index("a").table(articles).disable_output().run()
     engine.store.compact("a")
     assert not caplog.records
+
+
+def test_index_of_a_database(spark, articles, tmp_path):
+    """Rows of a database over JDBC, read by one task and by several, give the index of the table."""
+    spark.sparkContext._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:articles"
+    articles.write.jdbc(f"{url};create=true", "articles", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    config = {"driver": "derby", "database": "memory:articles", "storage": str(tmp_path / "store"), "options": {"fetchsize": 2}}
+    for more in ({}, {"partition_column": '"id"', "lower": 1, "upper": 6, "partitions": 3}):
+        engine = Engine(spark, config | more)
+        made = engine.create_index("a").query('SELECT "id", "title", "article" FROM articles;').run()
+        assert sorted(map(tuple, made.postings.collect())) == sorted(map(tuple, build_index(articles).postings.collect())) and made.total_documents == 5
+        engine.select_index("a")
+        assert engine.search("daughters king").ids == [3]
+    read = connectors.read_query(spark, 'SELECT "id" FROM articles', config | more)
+    assert read.rdd.getNumPartitions() == 3 and read.count() == 5
