@@ -49,7 +49,11 @@ def stemmer(name: str) -> Stemmer:
 
 
 def stemmed(word: Column, name: str) -> Column:
-    """A column of words as a column of stems, in Arrow batches; meant for a vocabulary."""
+    """A column of words as a column of stems, in Arrow batches; meant for a vocabulary.
+
+    It passes for nondeterministic, so that a filter on stems isn't pushed down
+    to where a word comes many times.
+    """
     function = stemmer(name)
     if function is identity:
         return word
@@ -58,4 +62,4 @@ def stemmed(word: Column, name: str) -> Column:
     def stems(words: pd.Series) -> pd.Series:
         return words.map(lambda w: None if w is None else function(w))
 
-    return stems(word)
+    return stems.asNondeterministic()(word)

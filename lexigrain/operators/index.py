@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -47,20 +47,47 @@ def text_columns(source: DataFrame, primary_key: str, include_primary_key: bool
     return [c for c in source.columns if include_primary_key or c != primary_key]
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows in the session's number of partitions by columns; what is grouped by these and others needs no further shuffle."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def exploded(rows: DataFrame, tokens: Column, *columns: Column) -> DataFrame:
+    """``columns`` and ``term``, a row for each token."""
+    return rows.select(*columns, F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())  # of the inner form Spark makes the tokens twice
+
+
+def _words(source: DataFrame, primary_key: str, include_primary_key: bool, analysis: Analysis) -> DataFrame:
+    """``doc_id, term``, a row for each token, spread by ``doc_id``."""
+    columns = text_columns(source, primary_key, include_primary_key)
+    texts = spread(source.select(F.col(f"`{primary_key}`").alias("doc_id"), *[F.col(f"`{c}`").alias(f"text_{i}") for i, c in enumerate(columns)]), "doc_id")
+    tokens = [analysis.tokens(F.col(f"text_{i}")) for i in range(len(columns))]
+    return exploded(texts, F.concat(*tokens) if len(tokens) > 1 else tokens[0], F.col("doc_id"))
+
+
+def stems_of(words: DataFrame, stemmer: str) -> DataFrame:
+    """``term, stem`` of the distinct terms."""
+    return spread(words.select("term").distinct(), "term").withColumn("stem", stemmed(F.col("term"), stemmer))
+
+
 def postings(source: DataFrame, primary_key: str = "id", include_primary_key: bool = False, analysis: Analysis = Analysis()) -> DataFrame:
     """``term, doc_id, hit_count``: how often each term comes in each row of ``source``, over all its columns but the key.
 
-    One shuffle, after counting within each task. Stems are taken of the distinct
-    words and joined back.
+    The texts are shuffled by key, so a task counts the words of few rows and
+    postings don't move. Stems are taken of the distinct words and joined back.
     """
-    columns = text_columns(source, primary_key, include_primary_key)
-    tokens = [analysis.tokens(F.col(f"`{c}`")) for c in columns]
-    words = source.select(F.col(f"`{primary_key}`").alias("doc_id"), F.explode(F.concat(*tokens) if len(tokens) > 1 else tokens[0]).alias("term"))
+    words = _words(source, primary_key, include_primary_key, analysis)
     counts = words.groupBy("term", "doc_id").agg(F.count("*").alias("hit_count"))
     if analysis.stemmer == "no":
         return counts
-    stems = counts.select("term").distinct().withColumn("stem", stemmed(F.col("term"), analysis.stemmer))
-    return counts.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("hit_count").alias("hit_count"))
+    return counts.join(stems_of(words, analysis.stemmer), "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("hit_count").alias("hit_count"))
+
+
+def _stem_postings(source: DataFrame, primary_key: str, include_primary_key: bool, analysis: Analysis, terms: list[str]) -> DataFrame:
+    """The postings of some stems: of their words alone, so that no others are counted."""
+    words = _words(source, primary_key, include_primary_key, analysis)
+    asked = stems_of(words, analysis.stemmer).filter(F.col("stem").isin(terms))
+    return words.join(F.broadcast(asked), "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.count("*").alias("hit_count"))
 
 
 def wordlist(of: DataFrame) -> DataFrame:
@@ -79,6 +106,11 @@ class Index:
     include_primary_key: bool = False
     filemap: DataFrame | None = None
     info: dict[str, str] = field(default_factory=dict)
+    some: Callable[[list[str]], DataFrame] | None = None
+
+    def postings_of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms; ``some`` is a shorter way to them than by all postings."""
+        return self.some(terms) if self.some else self.postings.filter(F.col("term").isin(terms))
 
     @property
     def wordlist(self) -> DataFrame:
@@ -89,13 +121,13 @@ class Index:
 
     def insert(self, rows: DataFrame) -> Index:
         """Rows are added. An id that is there already isn't replaced: its postings count again."""
-        return replace(self, postings=self.postings.unionByName(self._of(rows)), total_documents=self.total_documents + rows.count())
+        return replace(self, some=None, postings=self.postings.unionByName(self._of(rows)), total_documents=self.total_documents + rows.count())
 
     def delete(self, ids: DataFrame | Sequence) -> Index:
         """Postings of the ids go; documents without postings don't lower the number of documents."""
         gone = self._ids(ids)
         removed = self.postings.select("doc_id").join(gone, "doc_id", "left_semi").distinct().count()
-        return replace(self, postings=self.postings.join(gone, "doc_id", "left_anti"), total_documents=self.total_documents - removed)
+        return replace(self, some=None, postings=self.postings.join(gone, "doc_id", "left_anti"), total_documents=self.total_documents - removed)
 
     def update(self, rows: DataFrame) -> Index:
         """Rows replace those of the same id, or are added."""
@@ -117,7 +149,8 @@ class Index:
 
 
 def build_index(source: DataFrame, primary_key: str = "id", include_primary_key: bool = False, analysis: Analysis = Analysis()) -> Index:
-    return Index(postings(source, primary_key, include_primary_key, analysis), source.count(), primary_key, analysis, include_primary_key)
+    some = None if analysis.stemmer == "no" else lambda terms: _stem_postings(source, primary_key, include_primary_key, analysis, terms)
+    return Index(postings(source, primary_key, include_primary_key, analysis), source.count(), primary_key, analysis, include_primary_key, some=some)
 
 
 def term_stats(words: DataFrame, word: str) -> DataFrame:

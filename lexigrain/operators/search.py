@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 
@@ -126,9 +126,11 @@ def scores(index: Index, phrase: str, options: SearchOptions = SearchOptions(),
     Of each query term the ``max_docs`` postings with the nearest entries and the
     most hits count, all with ``no_limit``.
     """
-    words = index.wordlist if words is None else words
     spark = index.postings.sparkSession
     tokens = query_terms(spark, phrase, index.analysis)
+    if words is None and index.some and not (options.fuzziness or options.as_you_type):
+        index = replace(index, postings=index.postings_of(sorted({t.lower() for t in tokens})))
+    words = index.wordlist if words is None else words
     rows = [(at, e.term, e.place, found[0].num_docs) for at, found in enumerate(expansions(words, tokens, options)) for e in found]
     query = spark.createDataFrame(rows, "at int, term string, place int, df long")
     idf = F.log(F.lit(float(index.total_documents)) / F.greatest(F.lit(1), "df")) if index.total_documents else F.lit(0.0)

@@ -377,3 +377,18 @@ def test_index_of_a_database(spark, articles, tmp_path):
         assert engine.search("daughters king").ids == [3]
     read = connectors.read_query(spark, 'SELECT "id" FROM articles', config | more)
     assert read.rdd.getNumPartitions() == 3 and read.count() == 5
+
+
+def test_filters_on_stems_see_distinct_words(spark):
+    rows = spark.createDataFrame([(1, "things thing the"), (2, "thing")], "id long, text string")
+    made = build_index(rows, analysis=Analysis(stemmer="porter"))
+    for plan in (made.wordlist.filter("term = 'thing'"), made.postings_of(["thing"])):
+        lines = plan._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        at = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line or "pythonUDF" in line or "stems(" in line]
+        assert at and all(any("Aggregate [term" in below for below in lines[i + 1 :]) for i in at)
+        assert not any("Filter" in line and "stems(" in line for line in lines)
+    assert {(r["term"], r["doc_id"], r["hit_count"]) for r in made.postings_of(["thing"]).collect()} == {("thing", 1, 2), ("thing", 2, 1)}
+    assert {(r["term"], r["doc_id"], r["hit_count"]) for r in made.postings.collect()} == {("thing", 1, 2), ("thing", 2, 1), ("the", 1, 1)}
+    assert made.delete([2]).postings_of(["thing"]).count() == 1
+    found = search.search(made, "things").doc_scores
+    assert found.count() == 2
