@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions.stopwords import stopwords as stopwords_of
+from lexigrain.operators.index import spread
 
 #: Runs of other characters than punctuation, separators and controls, or one punctuation mark.
 TOKEN = r"[^\p{P}\p{Z}\p{C}]+|\p{P}"
@@ -32,13 +33,14 @@ def rake(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
     frequency; a phrase the sum of its words. A phrase that comes twice counts
     twice for its words and is listed once.
     """
-    found = docs.select(F.col(key).alias("key"), F.explode(candidate_phrases(F.col(text), stopwords_of(language) if stop is None else stop)).alias("phrase"))
+    # the phrases, their words and both windows are all of one document: one shuffle, of the texts by it
+    texts = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
+    found = texts.select("key", F.explode(candidate_phrases(F.col("text"), stopwords_of(language) if stop is None else stop)).alias("phrase"))
     phrases = found.groupBy("key", "phrase").agg(F.count("*").alias("times"))
     words = phrases.select("key", "phrase", "times", F.explode(F.split("phrase", " ")).alias("word"), F.size(F.split("phrase", " ")).alias("size"))
-    # the phrases, their words and both windows are all of one document: one shuffle by it
     by_word = Window.partitionBy("key", "word")
     score = F.sum(F.col("size") * F.col("times")).over(by_word) / F.sum("times").over(by_word)
-    scored = words.repartition("key").withColumn("score", score).groupBy("key", "phrase").agg(F.round(F.sum("score"), 9).alias("score"))
+    scored = words.withColumn("score", score).groupBy("key", "phrase").agg(F.round(F.sum("score"), 9).alias("score"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "phrase"))
     number = F.count("*").over(Window.partitionBy("key"))
     kept = scored.withColumn("place", place).withColumn("n", number).filter(F.col("place") <= F.ceil(F.col("n") / 3) + 1)

@@ -140,6 +140,12 @@ def test_rake(spark):
     assert got == [("deep red sea", pytest.approx(25 / 3)), ("red sea birds", pytest.approx(25 / 3))]
 
 
+def test_rake_shuffles_texts_once(spark):
+    docs = spark.createDataFrame([(1, "red sea birds"), (2, "deep red sea")], "doc_id long, text string")
+    plan = keywords.rake(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange" in plan.split("Generate")[-1]
+
+
 def test_edit_distance_of_whole_dictionary(spark):
     from lexigrain.plans import queries as plans
     from tests.compare import DATA
