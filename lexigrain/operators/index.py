@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +58,38 @@ def exploded(rows: DataFrame, tokens: Column, *columns: Column) -> DataFrame:
     return rows.select(*columns, F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())  # of the inner form Spark makes the tokens twice
 
 
-def _words(source: DataFrame, primary_key: str, include_primary_key: bool, analysis: Analysis) -> DataFrame:
-    """``doc_id, term``, a row for each token, spread by ``doc_id``."""
+@dataclass(frozen=True)
+class Load:
+    """Rows that came into an index at once. ``texts``: ``doc_id`` and a column for each text, spread by ``doc_id``; ``once``: each id comes once."""
+
+    texts: DataFrame
+    once: bool
+
+    def tokens(self, analysis: Analysis) -> Column:
+        each = [analysis.tokens(F.col(c)) for c in self.texts.columns[1:]]
+        return F.concat(*each) if len(each) > 1 else each[0]
+
+    def words(self, analysis: Analysis) -> DataFrame:
+        """``doc_id, term``, a row for each token, spread by ``doc_id``."""
+        return exploded(self.texts, self.tokens(analysis), F.col("doc_id"))
+
+    def counts(self, analysis: Analysis) -> DataFrame:
+        """``term, hits, docs``: of each row its tokens as hits, and its distinct tokens as documents; to be summed. No table of postings is made, only one of terms."""
+        tokens = self.texts.select(self.tokens(analysis).alias("tokens"))
+        both = F.array(*[F.struct(F.lit(hits).alias("hits"), F.lit(1 - hits).alias("docs"), of.alias("terms")) for hits, of in ((1, F.col("tokens")), (0, F.array_distinct("tokens")))])
+        return exploded(tokens.select(F.explode_outer(both).alias("of")), F.col("of.terms"), F.col("of.hits"), F.col("of.docs"))
+
+
+def _load(source: DataFrame, primary_key: str, include_primary_key: bool = False, once: bool = False) -> Load:
     columns = text_columns(source, primary_key, include_primary_key)
-    texts = spread(source.select(F.col(f"`{primary_key}`").alias("doc_id"), *[F.col(f"`{c}`").alias(f"text_{i}") for i, c in enumerate(columns)]), "doc_id")
-    tokens = [analysis.tokens(F.col(f"text_{i}")) for i in range(len(columns))]
-    return exploded(texts, F.concat(*tokens) if len(tokens) > 1 else tokens[0], F.col("doc_id"))
+    return Load(spread(source.select(F.col(f"`{primary_key}`").alias("doc_id"), *[F.col(f"`{c}`").alias(f"text_{i}") for i, c in enumerate(columns)]), "doc_id"), once)
+
+
+def _sized(source: DataFrame, primary_key: str) -> tuple[int, bool]:
+    """Number of rows, and whether each id comes once."""
+    key = F.col(f"`{primary_key}`")
+    of = source.agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids")).first()
+    return of["n"], of["n"] == of["ids"]
 
 
 def stems_of(words: DataFrame, stemmer: str) -> DataFrame:
@@ -76,16 +103,20 @@ def postings(source: DataFrame, primary_key: str = "id", include_primary_key: bo
     The texts are shuffled by key, so a task counts the words of few rows and
     postings don't move. Stems are taken of the distinct words and joined back.
     """
-    words = _words(source, primary_key, include_primary_key, analysis)
+    return _postings(_load(source, primary_key, include_primary_key), analysis)
+
+
+def _postings(load: Load, analysis: Analysis) -> DataFrame:
+    words = load.words(analysis)
     counts = words.groupBy("term", "doc_id").agg(F.count("*").alias("hit_count"))
     if analysis.stemmer == "no":
         return counts
     return counts.join(stems_of(words, analysis.stemmer), "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("hit_count").alias("hit_count"))
 
 
-def _stem_postings(source: DataFrame, primary_key: str, include_primary_key: bool, analysis: Analysis, terms: list[str]) -> DataFrame:
+def _stem_postings(load: Load, analysis: Analysis, terms: list[str]) -> DataFrame:
     """The postings of some stems: of their words alone, so that no others are counted."""
-    words = _words(source, primary_key, include_primary_key, analysis)
+    words = load.words(analysis)
     asked = stems_of(words, analysis.stemmer).filter(F.col("stem").isin(terms))
     return words.join(F.broadcast(asked), "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.count("*").alias("hit_count"))
 
@@ -97,7 +128,11 @@ def wordlist(of: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings with the number of documents. Every change gives another index."""
+    """Postings with the number of documents. Every change gives another index.
+
+    ``loads`` are the rows it is made of, where they are at hand: changes concern
+    these, and the dictionary is counted from them without postings.
+    """
 
     postings: DataFrame
     total_documents: int
@@ -107,6 +142,7 @@ class Index:
     filemap: DataFrame | None = None
     info: dict[str, str] = field(default_factory=dict)
     some: Callable[[list[str]], DataFrame] | None = None
+    loads: tuple[Load, ...] = ()
 
     def postings_of(self, terms: list[str]) -> DataFrame:
         """The postings of some terms; ``some`` is a shorter way to them than by all postings."""
@@ -114,20 +150,28 @@ class Index:
 
     @property
     def wordlist(self) -> DataFrame:
+        if self.loads and self.analysis.stemmer == "no" and all(load.once for load in self.loads):
+            counts = reduce(DataFrame.unionByName, [load.counts(self.analysis) for load in self.loads])
+            return counts.groupBy("term").agg(F.sum("hits").alias("num_hits"), F.sum("docs").alias("num_docs"))
         return wordlist(self.postings)
 
-    def _of(self, rows: DataFrame) -> DataFrame:
-        return postings(rows, self.primary_key, self.include_primary_key, self.analysis)
-
     def insert(self, rows: DataFrame) -> Index:
         """Rows are added. An id that is there already isn't replaced: its postings count again."""
-        return replace(self, some=None, postings=self.postings.unionByName(self._of(rows)), total_documents=self.total_documents + rows.count())
+        n, once = _sized(rows, self.primary_key)
+        load = _load(rows, self.primary_key, self.include_primary_key, once)
+        return replace(self, some=None, postings=self.postings.unionByName(_postings(load, self.analysis)), total_documents=self.total_documents + n, loads=self.loads and (*self.loads, load))
 
     def delete(self, ids: DataFrame | Sequence) -> Index:
         """Postings of the ids go; documents without postings don't lower the number of documents."""
         gone = self._ids(ids)
-        removed = self.postings.select("doc_id").join(gone, "doc_id", "left_semi").distinct().count()
-        return replace(self, some=None, postings=self.postings.join(gone, "doc_id", "left_anti"), total_documents=self.total_documents - removed)
+        if not self.loads:
+            removed = self.postings.select("doc_id").join(gone, "doc_id", "left_semi").distinct().count()
+            return replace(self, some=None, postings=self.postings.join(gone, "doc_id", "left_anti"), total_documents=self.total_documents - removed)
+        # an aggregate, since a filter would go below the join, to the texts that stay
+        found = [load.texts.join(gone, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.size(load.tokens(self.analysis))).alias("size")) for load in self.loads]
+        removed = reduce(DataFrame.unionByName, found).filter("size > 0").select("doc_id").distinct().count()
+        loads = tuple(replace(load, texts=load.texts.join(gone, "doc_id", "left_anti")) for load in self.loads)
+        return replace(self, some=None, postings=reduce(DataFrame.unionByName, [_postings(load, self.analysis) for load in loads]), total_documents=self.total_documents - removed, loads=loads)
 
     def update(self, rows: DataFrame) -> Index:
         """Rows replace those of the same id, or are added."""
@@ -149,8 +193,10 @@ class Index:
 
 
 def build_index(source: DataFrame, primary_key: str = "id", include_primary_key: bool = False, analysis: Analysis = Analysis()) -> Index:
-    some = None if analysis.stemmer == "no" else lambda terms: _stem_postings(source, primary_key, include_primary_key, analysis, terms)
-    return Index(postings(source, primary_key, include_primary_key, analysis), source.count(), primary_key, analysis, include_primary_key, some=some)
+    n, once = _sized(source, primary_key)
+    load = _load(source, primary_key, include_primary_key, once)
+    some = None if analysis.stemmer == "no" else lambda terms: _stem_postings(load, analysis, terms)
+    return Index(_postings(load, analysis), n, primary_key, analysis, include_primary_key, some=some, loads=(load,))
 
 
 def term_stats(words: DataFrame, word: str) -> DataFrame:

@@ -392,3 +392,17 @@ def test_filters_on_stems_see_distinct_words(spark):
     assert made.delete([2]).postings_of(["thing"]).count() == 1
     found = search.search(made, "things").doc_scores
     assert found.count() == 2
+
+
+def test_changes_concern_rows_and_the_dictionary_needs_no_postings(spark):
+    rows = spark.createDataFrame([(1, "one two two"), (2, "two, three"), (3, None), (4, "...")], "id long, text string")
+    made = build_index(rows)
+    for changed in (made, made.delete([1]), made.insert(rows), made.update(rows.filter("id = 2"))):
+        plan = changed.wordlist._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [term" in plan and not any("Aggregate [term" in line and "doc_id" in line.split("]")[0] for line in plan.split("\n"))
+    kept = made.delete([1, 3, 4, 9])  # ids without words don't lower the number of documents
+    assert kept.total_documents == 3 and {tuple(r) for r in kept.wordlist.collect()} == {("two", 1, 1), ("three", 1, 1)}
+    assert {tuple(r) for r in made.update(spark.createDataFrame([(2, "two two"), (5, "six")], rows.schema)).wordlist.collect()} == {("one", 1, 1), ("two", 4, 2), ("six", 1, 1)}
+    twice = build_index(rows.unionByName(rows.filter("id = 1")))  # an id that comes twice is one document of the dictionary
+    assert {tuple(r) for r in twice.wordlist.collect()} == {("one", 2, 1), ("two", 5, 2), ("three", 1, 1)} and twice.total_documents == 5
+    assert {tuple(r) for r in twice.delete([1]).wordlist.collect()} == {("two", 1, 1), ("three", 1, 1)} and twice.delete([1]).total_documents == 4
