@@ -148,6 +148,12 @@ class Index:
         """The postings of some terms; ``some`` is a shorter way to them than by all postings."""
         return self.some(terms) if self.some else self.postings.filter(F.col("term").isin(terms))
 
+    def hits(self, codes: DataFrame) -> DataFrame:
+        """``doc_id, code, hit_count``: the postings of ``codes(term, code)``, which is small; other words aren't counted."""
+        if self.loads and self.analysis.stemmer == "no":
+            return reduce(DataFrame.unionByName, [load.words(self.analysis).join(F.broadcast(codes), "term").groupBy("doc_id", "code").agg(F.count("*").alias("hit_count")) for load in self.loads])
+        return self.postings.join(F.broadcast(codes), "term").select("doc_id", "code", "hit_count")
+
     @property
     def wordlist(self) -> DataFrame:
         if self.loads and self.analysis.stemmer == "no" and all(load.once for load in self.loads):

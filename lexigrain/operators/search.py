@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexigrain.operators.index import Index, query_terms
+from lexigrain.operators.index import Index, query_terms, spread
 
 #: Decimals of a score: the sum of many terms may differ in the last bits with their order.
 DECIMALS = 9
+#: Words of all queries together up to which a batch of them goes to every task; more are joined.
+QUERY_WORDS = 500_000
+#: Products of words and queries that are summed at once.
+PRODUCTS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -194,11 +204,16 @@ def search_many(index: Index, phrases: DataFrame, limit: int = 100, words: DataF
     from lexigrain.functions.stemmers import stemmed
     from lexigrain.functions.tokenizers import tokenizer
 
-    words = index.wordlist if words is None else words
     tokens = phrases.select("query_id", tokenizer(index.analysis.tokenizer).tokens(F.col("phrase")).alias("tokens"))
     asked = tokens.select("query_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "word")).withColumn("last", (F.col("at") == F.col("n") - 1) & F.lit(options.as_you_type))
     asked = asked.groupBy("query_id", "word", "last").agg(F.count("*").alias("times"))
     asked = asked.withColumn("key", F.lower(stemmed(F.col("word"), index.analysis.stemmer))).groupBy("query_id", "key", "last").agg(F.sum("times").alias("times"))
+    plain = (T.IntegralType, T.StringType)
+    if options.no_limit and not (options.fuzziness or options.as_you_type) and all(isinstance(of.schema[c].dataType, plain) for of, c in ((asked, "query_id"), (index.postings, "doc_id"))):
+        few = asked.select("query_id", "key", "times").limit(QUERY_WORDS + 1).collect()
+        if len(few) <= QUERY_WORDS:
+            return _best(_scored_by_document(index, few, asked.select("query_id").schema, abs(limit), words), limit)
+    words = index.wordlist if words is None else words
     found = _expanded(asked.select("key", "last").distinct(), words, options)
     matched = asked.join(found, ["key", "last"]).join(index.postings, "term")
     if not options.no_limit:
@@ -207,5 +222,87 @@ def search_many(index: Index, phrases: DataFrame, limit: int = 100, words: DataF
     idf = F.log(F.lit(float(max(1, index.total_documents))) / F.greatest(F.lit(1), "df"))
     gain = F.col("times") * idf * (2 * F.col("hit_count")) / (1 + F.col("hit_count"))
     scored = matched.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), DECIMALS).alias("score"))
+    return _best(scored, limit)
+
+
+def _best(scored: DataFrame, limit: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= abs(limit))
+
+
+def _scored_by_document(index: Index, asked: list, queries: T.StructType, limit: int, words: DataFrame | None) -> DataFrame:
+    """``query_id, doc_id, score`` of at least the best ``limit`` documents of each query; ``asked``: ``query_id, key, times``.
+
+    The postings of the queries' words lie by document, and a task adds up the
+    products of a document's words with all queries: no row is made for a word of
+    a query in a document, and none for a document that is surely not among the best.
+    """
+    spark = index.postings.sparkSession
+    coded = lambda terms: spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, code int")
+    terms = sorted({r["key"] for r in asked})
+    codes = coded(terms)
+    found = words.join(F.broadcast(codes), "term").select("code", F.col("num_docs").alias("df")) if words is not None else index.hits(codes).groupBy("code").agg(F.count("*").alias("df"))
+    df = {terms[r["code"]]: r["df"] for r in found.collect()}
+    terms, ids = sorted(df), list(dict.fromkeys(r["query_id"] for r in asked))
+    code, at = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
+    known = sorted((code[r["key"]], at[r["query_id"]], r["times"] * math.log(max(1, index.total_documents) / max(1, df[r["key"]]))) for r in asked if r["key"] in code)
+    starts = np.searchsorted(np.array([c for c, _, _ in known], dtype=np.int64), np.arange(len(terms) + 1))
+    scorer = _scorer(starts, np.array([q for _, q, _ in known], dtype=np.int64), np.array([w for _, _, w in known]), max(1, len(ids)), max(1, limit))
+    hits = spread(index.hits(coded(terms)), "doc_id").sortWithinPartitions("doc_id")
+    scores = hits.mapInArrow(scorer, T.StructType([hits.schema["doc_id"], T.StructField("at", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    named = spark.createDataFrame([(i, q) for i, q in enumerate(ids)], T.StructType([T.StructField("at", T.IntegerType()), *queries]))
+    return scores.join(F.broadcast(named), "at").select("query_id", "doc_id", F.round("score", DECIMALS).alias("score"))
+
+
+def _scorer(starts: np.ndarray, queries: np.ndarray, weights: np.ndarray, n: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of ``doc_id, code, hit_count`` by ``doc_id``: ``doc_id, at, score``. The word ``code`` has the ``queries`` and ``weights`` from ``starts[code]`` to the next start."""
+    sizes = np.diff(starts)
+
+    def begins(ids: pa.Array) -> np.ndarray:
+        """Where documents begin."""
+        none = pc.is_null(ids).to_numpy(zero_copy_only=False)
+        other = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (none[1:] != none[:-1])
+        return np.flatnonzero(np.concatenate([[True], other]))
+
+    def scored(rows: pa.Table, first: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        code, hits = (rows[c].to_numpy() for c in ("code", "hit_count"))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
+        size, gain = sizes[code], 2 * hits / (1 + hits)
+        to = np.arange(size.sum()) + np.repeat(starts[code] - np.cumsum(size) + size, size)
+        cell = np.repeat(of * n, size) + queries[to]
+        sums = np.bincount(cell, np.repeat(gain, size) * weights[to], len(first) * n)
+        there = np.bincount(cell, minlength=len(first) * n) > 0
+        sums = np.where(there, sums, -np.inf).reshape(-1, n)
+        if len(first) >= limit:
+            np.maximum(least, np.partition(sums, len(first) - limit, axis=0)[len(first) - limit], out=least)
+        document, at = np.nonzero(there.reshape(-1, n) & (sums >= least - 10.0 ** (1 - DECIMALS)))  # equal when rounded may differ before
+        return pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(pa.array(first[document])), pa.array(at.astype(np.int32)), pa.array(sums[document, at])], ["doc_id", "at", "score"])
+
+    def pieces(rows: pa.Table, last: bool) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
+        """Whole documents of at most ``PRODUCTS`` products, or one; then the rows of the last document, which may go on."""
+        first = begins(rows["doc_id"].combine_chunks())
+        ends = np.append(first[1:], rows.num_rows)[: len(first) if last else len(first) - 1]
+        cost = np.append(0, np.cumsum(sizes[rows["code"].to_numpy()]))[ends] + n * np.arange(1, len(ends) + 1)
+        done, paid = 0, 0
+        while done < len(ends):
+            to = max(done + 1, int(np.searchsorted(cost, paid + PRODUCTS, "right")))
+            yield rows.slice(first[done], ends[to - 1] - first[done]), first[done:to] - first[done]
+            done, paid = to, cost[to - 1]
+        if not last:
+            yield rows.slice(first[-1]), None
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, rest = np.full(n, -np.inf), None
+        for batch in batches:
+            if batch.num_rows:
+                new = pa.Table.from_batches([batch])
+                for rows, first in pieces(pa.concat_tables([rest, new]).combine_chunks() if rest is not None else new, False):
+                    if first is None:
+                        rest = rows
+                    else:
+                        yield scored(rows, first, least)
+        if rest is not None:
+            for rows, first in pieces(rest, True):
+                yield scored(rows, first, least)
+
+    return score

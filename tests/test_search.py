@@ -406,3 +406,20 @@ def test_changes_concern_rows_and_the_dictionary_needs_no_postings(spark):
     twice = build_index(rows.unionByName(rows.filter("id = 1")))  # an id that comes twice is one document of the dictionary
     assert {tuple(r) for r in twice.wordlist.collect()} == {("one", 2, 1), ("two", 5, 2), ("three", 1, 1)} and twice.total_documents == 5
     assert {tuple(r) for r in twice.delete([1]).wordlist.collect()} == {("two", 1, 1), ("three", 1, 1)} and twice.delete([1]).total_documents == 4
+
+
+def test_batches_are_scored_by_document(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, " ".join(w for j, w in enumerate(("one", "two", "three", "four", "all")) for _ in range((i * (j + 3)) % 4 + (j == 4)))) for i in range(300)] + [(7, "one two"), (None, "two all")], "id long, text string")
+    phrases = spark.createDataFrame([(1, "one two"), (2, "All all three"), (3, "none"), (4, "four one none"), (5, "")], "query_id int, phrase string")
+    made = build_index(rows)
+    for index in (made, made.insert(rows.filter("id < 9")), made.delete([8])):
+        found = {}
+        for words in (search.QUERY_WORDS, 0):  # few words, and more than go to every task
+            for products in (search.PRODUCTS, 40):
+                monkeypatch.setattr(search, "QUERY_WORDS", words)
+                monkeypatch.setattr(search, "PRODUCTS", products)
+                plan = search.search_many(index, phrases, 7)
+                if words:
+                    assert "MapInArrow" in plan._jdf.queryExecution().optimizedPlan().toString()
+                found[words, products] = sorted((r["query_id"], r["rank"], r["doc_id"] or -1, r["score"]) for r in plan.collect())
+        assert len({str(f) for f in found.values()}) == 1 and {q for q, *_ in plan.select("query_id").distinct().collect()} == {1, 2, 4}
