@@ -73,6 +73,13 @@ class Load:
         """``doc_id, term``, a row for each token, spread by ``doc_id``."""
         return exploded(self.texts, self.tokens(analysis), F.col("doc_id"))
 
+    def postings(self, analysis: Analysis) -> DataFrame:
+        words = self.words(analysis)
+        counts = words.groupBy("term", "doc_id").agg(F.count("*").alias("hit_count"))
+        if analysis.stemmer == "no":
+            return counts
+        return counts.join(stems_of(words, analysis.stemmer), "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("hit_count").alias("hit_count"))
+
     def counts(self, analysis: Analysis) -> DataFrame:
         """``term, hits, docs``: of each row its tokens as hits, and its distinct tokens as documents; to be summed. No table of postings is made, only one of terms."""
         tokens = self.texts.select(self.tokens(analysis).alias("tokens"))
@@ -80,13 +87,14 @@ class Load:
         return exploded(tokens.select(F.explode_outer(both).alias("of")), F.col("of.terms"), F.col("of.hits"), F.col("of.docs"))
 
 
-def _load(source: DataFrame, primary_key: str, include_primary_key: bool = False, once: bool = False) -> Load:
+def load_of(source: DataFrame, primary_key: str, include_primary_key: bool = False, once: bool = False) -> Load:
     columns = text_columns(source, primary_key, include_primary_key)
     return Load(spread(source.select(F.col(f"`{primary_key}`").alias("doc_id"), *[F.col(f"`{c}`").alias(f"text_{i}") for i, c in enumerate(columns)]), "doc_id"), once)
 
 
-def _sized(source: DataFrame, primary_key: str) -> tuple[int, bool]:
+def sized(source: DataFrame, primary_key: str) -> tuple[int, bool]:
     """Number of rows, and whether each id comes once."""
+    text_columns(source, primary_key)
     key = F.col(f"`{primary_key}`")
     of = source.agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids")).first()
     return of["n"], of["n"] == of["ids"]
@@ -103,15 +111,7 @@ def postings(source: DataFrame, primary_key: str = "id", include_primary_key: bo
     The texts are shuffled by key, so a task counts the words of few rows and
     postings don't move. Stems are taken of the distinct words and joined back.
     """
-    return _postings(_load(source, primary_key, include_primary_key), analysis)
-
-
-def _postings(load: Load, analysis: Analysis) -> DataFrame:
-    words = load.words(analysis)
-    counts = words.groupBy("term", "doc_id").agg(F.count("*").alias("hit_count"))
-    if analysis.stemmer == "no":
-        return counts
-    return counts.join(stems_of(words, analysis.stemmer), "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("hit_count").alias("hit_count"))
+    return load_of(source, primary_key, include_primary_key).postings(analysis)
 
 
 def _stem_postings(load: Load, analysis: Analysis, terms: list[str]) -> DataFrame:
@@ -163,9 +163,9 @@ class Index:
 
     def insert(self, rows: DataFrame) -> Index:
         """Rows are added. An id that is there already isn't replaced: its postings count again."""
-        n, once = _sized(rows, self.primary_key)
-        load = _load(rows, self.primary_key, self.include_primary_key, once)
-        return replace(self, some=None, postings=self.postings.unionByName(_postings(load, self.analysis)), total_documents=self.total_documents + n, loads=self.loads and (*self.loads, load))
+        n, once = sized(rows, self.primary_key)
+        load = load_of(rows, self.primary_key, self.include_primary_key, once)
+        return replace(self, some=None, postings=self.postings.unionByName(load.postings(self.analysis)), total_documents=self.total_documents + n, loads=self.loads and (*self.loads, load))
 
     def delete(self, ids: DataFrame | Sequence) -> Index:
         """Postings of the ids go; documents without postings don't lower the number of documents."""
@@ -177,7 +177,7 @@ class Index:
         found = [load.texts.join(gone, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.size(load.tokens(self.analysis))).alias("size")) for load in self.loads]
         removed = reduce(DataFrame.unionByName, found).filter("size > 0").select("doc_id").distinct().count()
         loads = tuple(replace(load, texts=load.texts.join(gone, "doc_id", "left_anti")) for load in self.loads)
-        return replace(self, some=None, postings=reduce(DataFrame.unionByName, [_postings(load, self.analysis) for load in loads]), total_documents=self.total_documents - removed, loads=loads)
+        return replace(self, some=None, postings=reduce(DataFrame.unionByName, [load.postings(self.analysis) for load in loads]), total_documents=self.total_documents - removed, loads=loads)
 
     def update(self, rows: DataFrame) -> Index:
         """Rows replace those of the same id, or are added."""
@@ -199,10 +199,10 @@ class Index:
 
 
 def build_index(source: DataFrame, primary_key: str = "id", include_primary_key: bool = False, analysis: Analysis = Analysis()) -> Index:
-    n, once = _sized(source, primary_key)
-    load = _load(source, primary_key, include_primary_key, once)
+    n, once = sized(source, primary_key)
+    load = load_of(source, primary_key, include_primary_key, once)
     some = None if analysis.stemmer == "no" else lambda terms: _stem_postings(load, analysis, terms)
-    return Index(_postings(load, analysis), n, primary_key, analysis, include_primary_key, some=some, loads=(load,))
+    return Index(load.postings(analysis), n, primary_key, analysis, include_primary_key, some=some, loads=(load,))
 
 
 def term_stats(words: DataFrame, word: str) -> DataFrame:

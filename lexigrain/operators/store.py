@@ -7,16 +7,51 @@ import logging
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
-from dataclasses import asdict
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexigrain.operators.index import Analysis, Index, postings
+from lexigrain.operators.index import Analysis, Index, Load, load_of, sized
 
 _log = logging.getLogger(__name__)
 _VERSION = re.compile(r"info-(\d+)\.json")
+#: What ranges of terms are chosen by: about so many rows, terms for each range, characters of a term.
+_ROWS_FOR_RANGES, _TERMS_A_RANGE, _PREFIX = 2_000, 100, 32
+#: Tokens that are counted at once, of a row at least.
+_TOKENS = 1 << 22
+
+
+def _counted(load: Load, analysis: Analysis, ends: np.ndarray) -> DataFrame:
+    """Postings of rows whose ids come once, with their ``range``, the number of ends that aren't beyond a term's first characters. Words are counted row by row, without a table."""
+
+    def counted(ids: pa.Array, lists: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        coded = pc.list_flatten(lists).dictionary_encode()
+        key = np.repeat(np.arange(len(sizes)), sizes) * (v := max(1, len(coded.dictionary)))
+        known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        key = key[known] + coded.indices.drop_null().to_numpy()
+        key.sort()
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        row, term = (pa.array(x) for x in np.divmod(key[at], v))
+        starts = pc.utf8_slice_codeunits(coded.dictionary, 0, _PREFIX).to_numpy(zero_copy_only=False).astype(ends.dtype)
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(term), ids.take(row), pa.array(np.diff(np.append(at, len(key)))), pa.array(np.searchsorted(ends, starts, "right").astype(np.int32)).take(term)], ["term", "doc_id", "hit_count", "range"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lists in (batch.columns for batch in batches):
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            paid, done = np.append(0, np.cumsum(sizes)), 0
+            while done < len(sizes):
+                to = max(done + 1, int(np.searchsorted(paid, paid[done] + _TOKENS, "right")) - 1)
+                yield counted(ids[done:to], lists[done:to], sizes[done:to])
+                done = to
+
+    fields = [T.StructField("term", T.StringType()), load.texts.schema["doc_id"], T.StructField("hit_count", T.LongType()), T.StructField("range", T.IntegerType())]
+    return load.texts.select("doc_id", load.tokens(analysis).alias("tokens")).mapInArrow(count, T.StructType(fields))
 
 
 class IndexNotFoundError(Exception):
@@ -111,19 +146,30 @@ class IndexStore:
         """Write what is left of all loads as one; the old ones go after."""
         meta = self.meta(name)
         load = meta["next"]
-        self._write_postings(name, load, self.open(name).postings)
+        self._write_postings(name, load, self.open(name).postings.repartitionByRange("term"))
         meta |= {"next": load + 1, "loads": [load], "deleted": []}
         self._write_meta(name, meta)
         self._sweep(name, meta)
         self._told(name, "compacted", meta)
 
-    def _write_postings(self, name: str, load: int, rows: DataFrame) -> None:
-        rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.storage}/{name}/postings/load_id={load}")
+    def _ranged(self, load: Load, analysis: Analysis, some: DataFrame) -> DataFrame:
+        """Postings ranged by term. Spark's own ranging makes them twice, once to choose ranges; these are chosen by the words of ``some`` rows, and concern but the sizes of files."""
+        if not load.once or analysis.stemmer != "no":
+            return load.postings(analysis).repartitionByRange("term")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        terms = sorted(r["term"][:_PREFIX] for r in replace(load, texts=some).postings(analysis).select("term").orderBy(F.rand(0)).limit(_TERMS_A_RANGE * parts).collect())
+        ends = np.array(sorted({terms[len(terms) * i // parts] for i in range(1, parts)}) if terms else [], dtype=f"U{_PREFIX}")
+        return _counted(load, analysis, ends).repartitionById(len(ends) + 1, "range").select("term", "doc_id", "hit_count")
+
+    def _write_postings(self, name: str, load: int, ranged: DataFrame) -> None:
+        ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.storage}/{name}/postings/load_id={load}")
 
     def _loaded(self, name: str, meta: dict, rows: DataFrame) -> dict:
-        found, load = postings(rows, meta["primary_key"], meta["include_primary_key"], self._analysis(meta)), meta["next"]
-        self._write_postings(name, load, found)
-        return meta | {"next": load + 1, "loads": [*meta["loads"], load], "total_documents": meta["total_documents"] + rows.count(), "id_type": found.schema["doc_id"].dataType.simpleString()}
+        load, key, more = meta["next"], meta["primary_key"], meta["include_primary_key"]
+        n, once = sized(rows, key)
+        made, some = load_of(rows, key, more, once), load_of(rows.sample(min(1.0, _ROWS_FOR_RANGES / max(1, n)), 0), key, more)
+        self._write_postings(name, load, self._ranged(made, self._analysis(meta), some.texts))
+        return meta | {"next": load + 1, "loads": [*meta["loads"], load], "total_documents": meta["total_documents"] + n, "id_type": made.texts.schema["doc_id"].dataType.simpleString()}
 
     def _freed(self, name: str, meta: dict, ids: DataFrame | Sequence) -> dict:
         index, load = self.open(name), meta["next"]

@@ -8,6 +8,7 @@ from lexigrain.functions.tokenizers import register_tokenizer
 from lexigrain.operators import boolean, classifier, geo, search
 from lexigrain.operators.index import Analysis, build_index, dictionary
 from lexigrain.operators.search import SearchOptions
+from lexigrain.operators import store as store_module
 from lexigrain.operators.store import IndexNotFoundError, IndexStore
 from lexigrain.sources import connectors
 from lexigrain.sources.files import read_files
@@ -423,3 +424,20 @@ def test_batches_are_scored_by_document(spark, monkeypatch):
                     assert "MapInArrow" in plan._jdf.queryExecution().optimizedPlan().toString()
                 found[words, products] = sorted((r["query_id"], r["rank"], r["doc_id"] or -1, r["score"]) for r in plan.collect())
         assert len({str(f) for f in found.values()}) == 1 and {q for q, *_ in plan.select("query_id").distinct().collect()} == {1, 2, 4}
+
+
+def test_stored_postings_are_counted_by_row_and_ranged(spark, tmp_path, monkeypatch):
+    texts = [(i, None if i % 9 == 0 else " ".join(f"w{(i * j) % 31:02}" + "é𝒳" * (j % 2) for j in range(i % 12))) for i in range(200)]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    wanted = sorted(map(tuple, build_index(rows, "id").postings.collect()))
+    ranged = []
+    monkeypatch.setattr(store_module, "_counted", lambda *of, counted=store_module._counted: ranged.append(of) or counted(*of))
+    monkeypatch.setattr(store_module, "_TOKENS", 50)
+    store = IndexStore(spark, str(tmp_path))
+    made = store.create("a", rows, "id")
+    assert ranged and sorted(map(tuple, made.postings.collect())) == wanted and made.total_documents == 200
+    spans = sorted((r["low"], r["high"]) for r in made.postings.groupBy(F.input_file_name()).agg(F.min("term").alias("low"), F.max("term").alias("high")).collect())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    twice = store.create("b", rows.unionByName(rows.filter("id = 5")), "id")  # an id that comes twice has one posting of a term
+    assert len(ranged) == 1 and twice.postings.count() == len(wanted) and twice.total_documents == 201
+    assert store.create("c", rows.limit(0), "id").postings.count() == 0
