@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions.stemmers import stemmed
 from lexigrain.functions.tokenizers import tokenizer
+from lexigrain.operators.index import spread
 
 
 @dataclass(frozen=True)
@@ -66,15 +67,17 @@ def log_likelihoods(model: BayesModel, rows: DataFrame, key: str = "doc_id", tex
 
     A word that a label lacks adds the logarithm of one over the label's words
     and the vocabulary, so only words that a label has need a join; the rest is
-    a product of counts.
+    a product of counts. Texts are spread by key and their words counted there,
+    so that counts move once, to the model's words.
     """
     vocabulary = model.class_words.select("term").distinct().agg(F.count("*").alias("v"))
     totals = model.class_words.groupBy("label").agg(F.sum("n").alias("words"))
     all_docs = model.class_docs.agg(F.sum("n").alias("docs"))
     labels = model.class_docs.join(totals, "label", "left").crossJoin(F.broadcast(vocabulary)).crossJoin(F.broadcast(all_docs))
     labels = labels.select("label", "first", F.log(F.col("n") / F.col("docs")).alias("prior"), F.log((F.coalesce("words", F.lit(0)) + F.col("v")).cast("double")).alias("base"))
-    sized = rows.select(key, F.size(tokenizer(model.tokenizer).tokens(F.col(text))).alias("size"))
-    terms = _terms(rows, key, text, model.tokenizer, model.stemmer).withColumnRenamed("n", "times")
+    texts = spread(rows.select(key, text), key)
+    sized = texts.select(key, F.size(tokenizer(model.tokenizer).tokens(F.col(text))).alias("size"))
+    terms = _terms(texts, key, text, model.tokenizer, model.stemmer).withColumnRenamed("n", "times")
     shared = terms.join(model.class_words, "term").groupBy(key, "label").agg(F.sum(F.col("times") * F.log((F.col("n") + 1).cast("double"))).alias("gain"))
     every = sized.crossJoin(F.broadcast(labels))
     return every.join(shared, [key, "label"], "left").select(key, "label", "first", (F.col("prior") - F.when(F.col("size") > 0, F.col("size") * F.col("base")).otherwise(F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("likelihood"))

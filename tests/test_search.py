@@ -441,3 +441,13 @@ def test_stored_postings_are_counted_by_row_and_ranged(spark, tmp_path, monkeypa
     twice = store.create("b", rows.unionByName(rows.filter("id = 5")), "id")  # an id that comes twice has one posting of a term
     assert len(ranged) == 1 and twice.postings.count() == len(wanted) and twice.total_documents == 201
     assert store.create("c", rows.limit(0), "id").postings.count() == 0
+
+
+def test_counts_of_classified_words_move_once(spark):
+    rows = spark.createDataFrame([(i, ("spam offer", "plain letter")[i % 2] + f" w{i}", ("bad", "good")[i % 2]) for i in range(20)] + [(20, None, None)], "doc_id long, text string, label string")
+    found = classifier.predict(classifier.train(rows), rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    texts = [i for i, line in enumerate(plan) if "RepartitionByExpression [doc_id" in line]
+    counts = [i for i, line in enumerate(plan) if "Aggregate [doc_id" in line and "term" in line.split("]")[0]]
+    assert counts and all(any(i < at < i + 6 for at in texts) for i in counts)
+    assert {r["doc_id"]: r["label"] for r in found.collect()} == {i: ("bad", "good")[i % 2] for i in range(20)} | {20: "bad"}
